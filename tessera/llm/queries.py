@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import langid, toxicity
 from tessera.llm.common import documents
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.minhash import fingerprint_pairs
 from tessera.llm.mixing import mix
+from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.simhash import near_duplicates
+
+
+def _crc_mod(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n, F.lit(0))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 16)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), capacity=1024)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (_crc_mod(5) == 0).alias("held_out"))
+    model = langid.train(docs.where("not held_out and lang is not null"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (_crc_mod(4) == 2).alias("held_out"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.where("not held_out"), labels.where(_crc_mod(4) != 2))
+    scored = toxicity.score(docs.select("doc_id", "text", "held_out"), model)
+    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir), min_chars=40, min_docs=5).select(
         "doc_id",
@@ -28,10 +59,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(documents(spark, sf_dir)).withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES = {
-    "op3_sharding": op3_sharding,
-    "op6_mixing": op6_mixing,
-    "op9_line_dedup": op9_line_dedup,
+    f.__name__: f
+    for f in (op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints)
 }
 
 OP6_SQL = r"""
