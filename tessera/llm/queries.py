@@ -13,6 +13,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.suffix_dedup import remove_repeats
 
 
 def _crc_mod(n: int) -> Column:
@@ -20,6 +21,10 @@ def _crc_mod(n: int) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n, F.lit(0))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), length=200)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -65,7 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints)
+    for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints)
 }
 
 OP6_SQL = r"""
