@@ -68,9 +68,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir)).withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints)
+    for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints, pipeline)
 }
 
 OP6_SQL = r"""

@@ -1,14 +1,15 @@
 """SimHash near-dedup by an inverted index on byte positions with count filtering.
 
-Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of their 8 bytes,
-so they are guaranteed to match in 6 byte positions. The index posts each distinct
-fingerprint under every set of 6 positional bytes (28 of them), so that any pair with the
-guaranteed minimum meets in a posting and hardly any other does. Pairs that met are tallied (one
-common posting: 6 equal bytes, 7 postings: 7 equal bytes) and verified bit by bit.
-
-Equal fingerprints are one entry of the index, so copies never form pairs. A posting has two free
-bytes; one that holds many fingerprints is not paired off but probed: each entry looks
-up the 136 values at most 2 bits away.
+Two 64-bit fingerprints that differ in at most k bits differ in at most k of their 8 bytes, so
+they are guaranteed to match in 8 - k byte positions. The index posts each distinct fingerprint
+under every set of 8 - k positional bytes, so any pair with the guaranteed minimum of matches meets
+in a posting, and with 4 bytes or more to agree on hardly any other pair does. Pairs that met are tallied
+(their equal bytes) and verified: bit by bit, or by the Jaccard likeness of their texts' shingles.
+
+Equal fingerprints are one entry of the index, so copies never form pairs. A posting that holds
+many entries is not paired off. Its free bytes are split into half bytes, at most k of which can differ,
+and its entries are posted again under every set of half bytes that must match, and so on down to
+single bits: exact, and with ever fewer entries to a posting.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, components, small_batches, spool
+from tessera.llm.minhash import shingles
 
 SEED = 42
-#: Sets of two byte positions that may differ.
-FREE = list(combinations(range(8), 2))
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -47,62 +47,108 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "doc_id long, fp long")
 
 
-def _differ(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(entries: DataFrame, *, probe_from: int = 512) -> DataFrame:
-    """Distinct ``fp`` with ``lead`` -> pairs ``a``, ``b`` of leads whose fingerprints differ in at most 2 bits."""
-    posts = F.array(*[F.struct(F.lit(k).alias("free"), F.col("fp").bitwiseAND(F.lit(_signed(~(255 << 8 * p | 255 << 8 * q) & (1 << 64) - 1))).alias("bytes")) for k, (p, q) in enumerate(FREE)])
-    postings = entries.select("fp", "lead", F.explode(posts).alias("post")).select("fp", "lead", "post.free", "post.bytes")
-    shared = postings.groupBy("free", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    postings = spool(postings.join(shared, ["free", "bytes"]), "simhash_postings")
-
-    few = postings.where(F.col("n") <= probe_from)
-    paired = few.alias("x").join(few.alias("y"), (F.col("x.free") == F.col("y.free")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
-    paired = paired.where(_differ(F.col("x.fp"), F.col("y.fp")) <= 2).select(F.col("x.fp").alias("f"), F.col("y.fp").alias("g"), F.col("x.lead").alias("a"), F.col("y.lead").alias("b"))
-
-    many = postings.where(F.col("n") > probe_from)
-    near = F.array(*[F.lit(m) for m in range(1, 1 << 16) if m.bit_count() <= 2])
-    shifts = [F.element_at(F.array(*[F.lit(8 * f[i]) for f in FREE]), F.col("free") + 1) for i in (0, 1)]
-    many = many.withColumns({"lo": shifts[0], "hi": shifts[1]})
-    probes = many.select("fp", "lead", "free", "lo", "hi", F.explode(near).alias("m")).select(
-        "free", F.col("fp").alias("f"), F.col("lead").alias("a"),
-        F.expr("fp ^ (shiftleft(cast(m & 255 as bigint), lo) | shiftleft(cast(shiftright(m, 8) as bigint), hi))").alias("g"),
-    )
-    probed = probes.where("f < g").join(many.select("free", F.col("fp").alias("g"), F.col("lead").alias("b")), ["free", "g"]).select("f", "g", "a", "b")
-
-    met = paired.union(probed).groupBy("f", "g").agg(F.count("*").alias("postings"), F.min("a").alias("a"), F.min("b").alias("b"))
-    equal_bytes = F.when(F.col("postings") >= 7, 7).otherwise(6)
-    return met.where((equal_bytes >= 6) & (_differ(F.col("f"), F.col("g")) <= 2)).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _post(rows: DataFrame, k: int, width: int) -> DataFrame:
+    """``fp``, ``fixed``, ``units`` (where its free units of ``width`` bits begin) -> a row per set of units that must match."""
+    n = 8 if width == 8 else 2 * k
+    sets = [[u for u in range(n) if u not in free] for free in combinations(range(n), k)]
+    ones = F.lit((1 << width) - 1).cast("long")
+    picked = rows.select("fp", "fixed", "units", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in sets])).alias("match"))
+    fixed = F.aggregate("match", F.col("fixed"), lambda m, u: m.bitwiseOR(F.call_function("shiftleft", ones, F.get("units", u))))
+    free = F.array_except("units", F.transform("match", lambda u: F.get("units", u)))
+    return picked.select("fp", fixed.alias("fixed"), free.alias("units")).withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
+
+
+def _post_bytes(entries: DataFrame, k: int) -> DataFrame:
+    """The first level of ``_post``, with its masks as constants."""
+    masks = [_signed(sum(255 << 8 * p for p in range(8) if p not in free)) for free in combinations(range(8), k)]
+    return entries.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("fixed")).withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
+
+
+def candidates(entries: DataFrame, *, max_bits: int = 2, pair_up: int = 512) -> DataFrame:
+    """Distinct ``fp`` -> pairs ``f`` < ``g`` that meet in a posting, with ``equal_bytes``; no pair within ``max_bits`` is missing."""
+    k, width = max_bits, 8
+    postings = _post_bytes(entries, k)
+    key = ["fixed", "value"]
+    met = None
+    while True:
+        sizes = postings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+        postings = spool(postings.join(sizes, key), f"simhash_postings_{width}")
+        few = postings.where(F.col("n") <= pair_up) if width > 1 else postings
+        x, y = few.select(*key, F.col("fp").alias("f")), few.select(*key, F.col("fp").alias("g"))
+        pairs = x.join(y, key).where("f < g").select("f", "g")
+        met = pairs if met is None else met.union(pairs)
+        many = postings.where(F.col("n") > pair_up)
+        if width == 1 or many.isEmpty():
+            break
+        width //= 2
+        free = F.filter(F.array(*map(F.lit, range(0, 64, 2 * width))), lambda u: F.call_function("shiftright", F.col("fixed"), u).bitwiseAND(F.lit(1)) == 0)
+        halves = F.flatten(F.transform(free, lambda u: F.array(u, u + width)))
+        postings = _post(many.select("fp", "fixed", halves.alias("units")), k, width).drop("units")
+    differ = F.col("f").bitwiseXOR(F.col("g"))
+    tally = sum((F.call_function("shiftright", differ, F.lit(8 * p)).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(8))
+    return met.distinct().withColumn("equal_bytes", tally).where(F.col("equal_bytes") >= 8 - k)
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs of ids ``a``, ``b`` (fingerprints ``f``, ``g``) whose texts' sets of word shingles have a Jaccard likeness of ``least``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            own = [np.unique(shingles(t or "", width)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int64()))], ["i", "fp", "set"])
+
+    asked = spool(pairs.select(F.col("a").alias("i"), F.col("f").alias("fp")).union(pairs.select("b", "g")).distinct(), "simhash_asked")
+    texts = docs.join(asked, "i").select("i", "text", "fp").mapInArrow(sets, "i long, fp long, set array<long>").dropDuplicates(["i", "fp"])
+    texts = spool(texts, "simhash_sets")
+    x, y = (texts.select(F.col("i").alias(i), F.col("fp").alias(f), F.col("set").alias(s)) for i, f, s in (("a", "f", "s"), ("b", "g", "t")))
+    both = pairs.join(x, ["a", "f"]).join(y, ["b", "g"])
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= least * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def near_duplicates(
+    docs: DataFrame, *, width: int = 3, max_bits: int = 2, alike: float | None = None, alike_width: int = 5, pair_up: int = 512, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
+    Fingerprints of shingles of ``width`` words link at ``max_bits`` or fewer differing bits. With ``alike``, the pairs that the
+    index finds (all within ``max_bits``, and those further apart that share as many bytes) link if the sets of
+    ``alike_width``-word shingles of two texts have at least that Jaccard likeness. Equal fingerprints always link.
+
     Null and blank texts have fingerprint 0 and link like any others. A null id is smaller than all
-    others; repeated ids are one node if their fingerprints agree, else each row has its own
-    fingerprint and both belong to the components they reach. Texts are read whole. An empty table gives
-    an empty result. Other columns don't matter.
+    others. Repeated ids are one node, so the components of their texts are joined. Texts are read whole. An empty
+    table gives an empty result. Other columns don't matter.
     """
-    fps = spool(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
-    entries = spool(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("lead")), "simhash_entries")
-    found = components(links(entries), tag="simhash_cc")
+    fps = spool(fingerprints(docs, width, id_col=id_col, text_col=text_col), "simhash")
+    node = F.coalesce("doc_id", F.lit(NULL_ID))
+    entries = spool(fps.groupBy("fp").agg(F.min(node).alias("lead")), "simhash_entries")
+    pairs = candidates(entries, max_bits=max_bits, pair_up=pair_up)
+    if alike is None:
+        pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
+    x, y = (entries.select(F.col("fp").alias(f), F.col("lead").alias(a)) for f, a in (("f", "a"), ("g", "b")))
+    pairs = spool(pairs.select("f", "g").join(x, "f").join(y, "g"), "simhash_pairs")
+    if alike is not None:
+        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i"), F.col(text_col).alias("text"))
+        pairs = _alike(texts, pairs, alike_width, alike)
+    repeated = fps.select(node.alias("b"), "fp").distinct().join(entries, "fp").select(F.col("lead").alias("a"), "b")
+    several = repeated.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")  # ids that carry several fingerprints
+    found = components(pairs.select("a", "b").union(repeated.join(several, "b").select("a", "b")), tag="simhash_cc")
     classes = entries.join(found, F.col("lead") == F.col("node"), "left").select("fp", F.coalesce("component", "lead").alias("c"))
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id")
