@@ -14,6 +14,7 @@ from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.topk_search import search
 
 
 def _crc_mod(n: int) -> Column:
@@ -33,6 +34,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 16)
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), F.col("doc_id") % 100 == 0, k=10)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=1024)
 
@@ -76,9 +81,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints, pipeline)
+    for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_topk_search, op5_packing, op6_mixing, op7_language_id, op8_toxicity, op9_line_dedup, op10_fingerprints, pipeline)
 }
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+t AS (SELECT doc_id, word, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS n FROM t GROUP BY doc_id),
+c AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS docs, (SELECT sum(n) FROM l)::DOUBLE / (SELECT count(*) FROM documents)::DOUBLE AS mean),
+f AS (SELECT word, ln(1 + (any_value(docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t, c GROUP BY word),
+s AS (
+  SELECT q.doc_id AS query_id, t.doc_id,
+         sum(round(f.idf * (t.tf * 2.2::DOUBLE / (t.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.n / c.mean))) * 1000000::DOUBLE)::BIGINT)::BIGINT AS points
+  FROM t AS q JOIN t ON q.word = t.word JOIN f ON f.word = t.word JOIN l ON l.doc_id = t.doc_id, c
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM s WHERE points > 0)
+SELECT query_id, rank::INT AS rank, doc_id, points::DOUBLE / 1000000::DOUBLE AS score FROM r WHERE rank <= 10
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -121,4 +142,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM d GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op4_topk_search": OP4_SQL, "op6_mixing": OP6_SQL, "op9_line_dedup": OP9_SQL}
