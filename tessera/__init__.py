@@ -1 +1 @@
-"""A PySpark-native query engine."""
+"""A PySpark-native query engine: a small strict SQL dialect and a DataFrame operator API over Catalyst."""
