@@ -36,7 +36,11 @@ def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
 
 
 K, C = F.col, lambda *names: {n: F.col(n) for n in names}
-MOD3 = F.nullif(int_modulo(K("p_size"), F.lit(3)), F.lit(0))
+
+
+def mod3():
+    """A column with nulls, made from one without."""
+    return F.nullif(int_modulo(K("p_size"), F.lit(3)), F.lit(0))
 
 
 @query("select n_nationkey, n_name, n_regionkey from nation")
@@ -56,7 +60,7 @@ def or_not(t):
 
 @query("select p_partkey, m from (select p_partkey, nullif(p_size % 3, 0) as m from part) where m <> 1")
 def null_filter(t):
-    return R.filter_rows(R.project(t("part"), {"p_partkey": K("p_partkey"), "m": MOD3}), K("m") != 1)
+    return R.filter_rows(R.project(t("part"), {"p_partkey": K("p_partkey"), "m": mod3()}), K("m") != 1)
 
 
 @query("select p_partkey, p_size + 1 as a, p_size - 25 as b, p_size * 2 as c, (p_size - 25) // 4 as d, (p_size - 25) % 4 as e, -p_size as f from part")
@@ -123,7 +127,7 @@ def agg_all(t):
 
 @query("select nullif(p_size % 3, 0) as m, count(*) as n, count(nullif(p_size % 3, 0)) as c from part group by nullif(p_size % 3, 0)")
 def agg_null_group(t):
-    return R.aggregate(t("part"), {"m": MOD3}, {"n": ("count", None), "c": ("count", MOD3)})
+    return R.aggregate(t("part"), {"m": mod3()}, {"n": ("count", None), "c": ("count", mod3())})
 
 
 @query("select count(*) as n, cast(sum(p_size) as bigint) as s, min(p_size) as lo, max(p_size) as hi, cast(sum(p_size) as bigint) // nullif(count(p_size), 0) as a from part where p_size < 0")
@@ -200,7 +204,7 @@ def update_sim(t):
 
 @query("select p_partkey, p_size from part where not coalesce(nullif(p_size % 3, 0) = 1, false)")
 def delete_sim(t):
-    return R.project(R.filter_rows(t("part"), ~F.coalesce(MOD3 == 1, F.lit(False))), C("p_partkey", "p_size"))
+    return R.project(R.filter_rows(t("part"), ~F.coalesce(mod3() == 1, F.lit(False))), C("p_partkey", "p_size"))
 
 
 @query("select cast(sum(p_size) as bigint) // count(p_size) as a, avg(p_size) as mean from part")

@@ -175,9 +175,9 @@ class Engine:
                     raise BindError(f"INSERT into {s.table} needs {len(columns)} values, got {len(row)}")
                 values = b.checked_row(row, columns, Scope([]), "INSERT")
                 rows.append(F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]))
-            df = self.spark.range(1).select(F.inline(F.array(*rows)))
+            df = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
             return lambda t: self.transactions.insert(t, s.table, df)
-        scope = Scope([Field((s.table,), n, Bound(F.col(f"`{n}`"), S.kind_of(f.dataType), type=t if t == "int" else None)) for (n, t), f in zip(columns, info.schema.fields, strict=True)])
+        scope = Scope([Field((s.table,), n, Bound(F.col(info.stored(i)), S.kind_of(f.dataType), type=t if t == "int" else None)) for i, ((n, t), f) in enumerate(zip(columns, info.schema.fields, strict=True))])
         where = None if s.where is None else b.predicate(s.where, scope, "WHERE")
         b.steps.append(("SEQ_SCAN", f"table: {s.table}"))
         if s.where is not None:
@@ -185,11 +185,11 @@ class Engine:
         if isinstance(s, N.Delete):
             b.steps.append(("DELETE", f"table: {s.table}"))
             return lambda t: self.transactions.delete(t, s.table, where)
-        types, sets = dict(columns), []
+        places, sets = {n: i for i, (n, _) in enumerate(columns)}, []
         for name, e in s.sets:
-            if name not in types:
+            if name not in places:
                 raise BindError(f"Unknown column in SET clause: {name}")
-            sets.append((name, b.checked_row([e], [(name, types[name])], scope, "SET")[0]))
+            sets.append((info.stored(places[name]), b.checked_row([e], [columns[places[name]]], scope, "SET")[0]))
         b.steps.append(("UPDATE", f"table: {s.table}"))
         return lambda t: self.transactions.update(t, s.table, sets, where)
 

@@ -41,10 +41,14 @@ class TableInfo:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(n, T.StructType.fromDDL(f"x {t}").fields[0].dataType) for n, t in self.columns])
 
+    def stored(self, i: int) -> str:
+        """A column's name in files, where names that differ in case only would clash."""
+        return f"c{i}"
+
     @property
     def key(self) -> str:
-        """The column that files are sorted by."""
-        return self.columns[0][0]
+        """The stored column that files are sorted by."""
+        return self.stored(0)
 
 
 class Catalog:
@@ -128,14 +132,16 @@ class Catalog:
     def with_rows(self, info: TableInfo, df: DataFrame) -> DataFrame:
         """Typed columns and a new identity for each row."""
         batch = uuid.uuid4().int >> 65
-        typed = [F.col(f"`{c}`").cast(t).alias(n) for c, (n, t) in zip(df.columns, info.columns, strict=True)]
-        return df.select(F.lit(batch).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1]), *typed)
+        named = df.toDF(*[info.stored(i) for i in range(len(info.columns))])
+        typed = [F.col(info.stored(i)).cast(t).alias(info.stored(i)) for i, (_, t) in enumerate(info.columns)]
+        return named.select(F.lit(batch).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1]), *typed)
 
     def row_schema(self, info: TableInfo) -> T.StructType:
-        return T.StructType([*(T.StructField(c, T.LongType()) for c in ROW), *info.schema.fields])
+        """Identities and stored columns."""
+        return T.StructType([*(T.StructField(c, T.LongType()) for c in ROW), *(T.StructField(info.stored(i), f.dataType) for i, f in enumerate(info.schema.fields))])
 
     def read(self, info: TableInfo, segments: list[dict]) -> DataFrame:
-        """Rows with their identity."""
+        """Rows as stored, with their identity."""
         paths = [p for s in segments for p in ([s["path"]] if s["files"] is None else [f"{s['path']}/{f}" for f in s["files"]])]
         schema = self.row_schema(info)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -146,10 +152,13 @@ class Catalog:
             return self.external[name]
         m = manifest or self.manifest()
         info = self.get_table(name, m)
-        return self.read(info, m["tables"][name]["segments"]).drop(*ROW)
+        return self.shown(info, self.read(info, m["tables"][name]["segments"]))
+
+    def shown(self, info: TableInfo, rows: DataFrame) -> DataFrame:
+        return rows.drop(*ROW).toDF(*[n for n, _ in info.columns])
 
     def rebase(self, info: TableInfo, segments: list[dict], change: DataFrame) -> list[dict]:
-        """Segments after a change set (identity, columns, ``__gone``): only files that hold one of its rows are written anew."""
+        """Segments after a change set (identity, stored columns, ``__gone``): only files that hold one of its rows are written anew."""
         segments = copy.deepcopy(segments)
         ids = change.select(*ROW)
         file = F.col("_metadata.file_path")

@@ -79,7 +79,7 @@ class TransactionManager:
         return self.catalog.spark.read.schema(schema if d.insert else schema.add("__gone", "boolean")).parquet(d.path)
 
     def rows(self, t: Transaction, name: str) -> DataFrame:
-        """What the transaction sees, with identities."""
+        """What the transaction sees, as stored, with identities."""
         self._check(t)
         info = self.catalog.get_table(name, t.manifest)
         df = self.catalog.read(info, t.manifest["tables"][name]["segments"])
@@ -91,7 +91,9 @@ class TransactionManager:
 
     def table(self, t: Transaction, name: str) -> DataFrame:
         self._check(t)
-        return self.catalog.external[name] if name in self.catalog.external else self.rows(t, name).drop(*ROW)
+        if name in self.catalog.external:
+            return self.catalog.external[name]
+        return self.catalog.shown(self.catalog.get_table(name, t.manifest), self.rows(t, name))
 
     def _check(self, t: Transaction) -> None:
         if t.state != "active":
@@ -107,14 +109,15 @@ class TransactionManager:
         return self._read(d).count()
 
     def update(self, t: Transaction, name: str, sets: Sequence[tuple[str, Column]], where: Column | None = None) -> int:
-        """All values come from the old row; the first setting of a column holds."""
+        """Settings and predicate are on stored columns. All values come from the old row; the first setting of a column holds."""
         info = self.catalog.get_table(name, t.manifest)
         new = dict(reversed(list(sets)))
-        return self._change(t, info, where, [new.get(n, F.col(f"`{n}`")).cast(k).alias(n) for n, k in info.columns], False)
+        stored = [info.stored(i) for i in range(len(info.columns))]
+        return self._change(t, info, where, [new.get(c, F.col(c)).cast(k).alias(c) for c, (_, k) in zip(stored, info.columns, strict=True)], False)
 
     def delete(self, t: Transaction, name: str, where: Column | None = None) -> int:
         info = self.catalog.get_table(name, t.manifest)
-        return self._change(t, info, where, [F.col(f"`{n}`") for n, _ in info.columns], True)
+        return self._change(t, info, where, [F.col(info.stored(i)) for i in range(len(info.columns))], True)
 
     def _change(self, t: Transaction, info: TableInfo, where: Column | None, columns: list[Column], gone: bool) -> int:
         with self.catalog.lock:
