@@ -45,10 +45,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Candidates come from the SimHash index with up to 4 differing bits guaranteed; they are copies if their sets of
-    five-word shingles are alike by 0.8 or more. Rows of one id are one document, of which one row stays; so are those with a null id.
+    Candidates come from the SimHash index: all pairs within 2 bits, and pairs further apart that share 4 bytes. They are
+    copies if their sets of five-word shingles are alike by 0.8 or more. Rows of one id are one document, of which one row stays; so are those with a null id.
     """
-    classes = near_duplicates(docs, width=3, max_bits=4, alike=0.8, alike_width=5)
+    classes = near_duplicates(docs, width=3, max_bits=2, free_bytes=4, alike=0.8, alike_width=5)
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
     return docs.withColumn("__k", key).join(stay, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")

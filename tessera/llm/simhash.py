@@ -7,9 +7,8 @@ in a posting, and with 4 bytes or more to agree on hardly any other pair does. P
 (their equal bytes) and verified: bit by bit, or by the Jaccard likeness of their texts' shingles.
 
 Equal fingerprints are one entry of the index, so copies never form pairs. A posting that holds
-many entries is not paired off. Its free bytes are split into half bytes, at most k of which can differ,
-and its entries are posted again under every set of half bytes that must match, and so on down to
-single bits: exact, and with ever fewer entries to a posting.
+many entries is not paired off but probed: each entry looks up the values at most k bits away in the
+posting's free bytes, so the work stays in proportion to the entries.
 """
 
 from __future__ import annotations
@@ -62,43 +61,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _post(rows: DataFrame, k: int, width: int) -> DataFrame:
-    """``fp``, ``fixed``, ``units`` (where its free units of ``width`` bits begin) -> a row per set of units that must match."""
-    n = 8 if width == 8 else 2 * k
-    sets = [[u for u in range(n) if u not in free] for free in combinations(range(n), k)]
-    ones = F.lit((1 << width) - 1).cast("long")
-    picked = rows.select("fp", "fixed", "units", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in sets])).alias("match"))
-    fixed = F.aggregate("match", F.col("fixed"), lambda m, u: m.bitwiseOR(F.call_function("shiftleft", ones, F.get("units", u))))
-    free = F.array_except("units", F.transform("match", lambda u: F.get("units", u)))
-    return picked.select("fp", fixed.alias("fixed"), free.alias("units")).withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
-
-
-def _post_bytes(entries: DataFrame, k: int) -> DataFrame:
-    """The first level of ``_post``, with its masks as constants."""
+def _postings(entries: DataFrame, k: int) -> DataFrame:
+    """A row per fingerprint and set of ``8 - k`` byte positions: the positions as a mask, and the bytes there."""
     masks = [_signed(sum(255 << 8 * p for p in range(8) if p not in free)) for free in combinations(range(8), k)]
     return entries.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("fixed")).withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
 
 
-def candidates(entries: DataFrame, *, max_bits: int = 2, pair_up: int = 512) -> DataFrame:
-    """Distinct ``fp`` -> pairs ``f`` < ``g`` that meet in a posting, with ``equal_bytes``; no pair within ``max_bits`` is missing."""
-    k, width = max_bits, 8
-    postings = _post_bytes(entries, k)
-    key = ["fixed", "value"]
-    met = None
-    while True:
-        sizes = postings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-        postings = spool(postings.join(sizes, key), f"simhash_postings_{width}")
-        few = postings.where(F.col("n") <= pair_up) if width > 1 else postings
-        x, y = few.select(*key, F.col("fp").alias("f")), few.select(*key, F.col("fp").alias("g"))
-        pairs = x.join(y, key).where("f < g").select("f", "g")
-        met = pairs if met is None else met.union(pairs)
-        many = postings.where(F.col("n") > pair_up)
-        if width == 1 or many.isEmpty():
-            break
-        width //= 2
-        free = F.filter(F.array(*map(F.lit, range(0, 64, 2 * width))), lambda u: F.call_function("shiftright", F.col("fixed"), u).bitwiseAND(F.lit(1)) == 0)
-        halves = F.flatten(F.transform(free, lambda u: F.array(u, u + width)))
-        postings = _post(many.select("fp", "fixed", halves.alias("units")), k, width).drop("units")
+def _probe(many: DataFrame, k: int) -> DataFrame:
+    """Pairs of one posting that differ in at most ``k`` bits of its ``k`` free bytes, by looking up every such value."""
+    near = [sum(1 << b for b in bits) for n in range(1, k + 1) for bits in combinations(range(8 * k), n)]
+    free = F.filter(F.array(*map(F.lit, range(0, 64, 8))), lambda u: F.call_function("shiftright", F.col("fixed"), u).bitwiseAND(F.lit(1)) == 0)
+    asked = many.select("fp", "fixed", free.alias("free")).select("fp", "fixed", "free", F.explode(F.array(*map(F.lit, near))).alias("m"))
+    byte = lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.col("m"), F.lit(8 * i)).bitwiseAND(F.lit(255)).cast("long"), F.get("free", F.lit(i)))
+    flips = byte(0)
+    for i in range(1, k):
+        flips = flips.bitwiseOR(byte(i))
+    asked = asked.select("fixed", F.col("fp").alias("f"), F.col("fp").bitwiseXOR(flips).alias("g")).where("f < g")
+    return asked.join(many.select("fixed", F.col("fp").alias("g")), ["fixed", "g"]).select("f", "g")
+
+
+def candidates(entries: DataFrame, *, max_bits: int = 2, free_bytes: int | None = None, pair_up: int = 512) -> DataFrame:
+    """Distinct ``fp`` -> pairs ``f`` < ``g`` that meet in a posting, with ``equal_bytes``. No pair within ``max_bits`` is missing.
+
+    More ``free_bytes`` than that give smaller sets of bytes to agree on, and so also pairs that are further apart. A posting of
+    those with over ``pair_up`` entries pairs them with its first one only; what is within ``max_bits`` there is found as without.
+    """
+    k = free_bytes or max_bits
+    postings, key = _postings(entries, k), ["fixed", "value"]
+    sizes = spool(postings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "simhash_sizes")
+    postings = spool(postings.join(sizes, key), "simhash_postings")
+    few, many = postings.where(F.col("n") <= pair_up), postings.where(F.col("n") > pair_up)
+    x, y = few.select(*key, F.col("fp").alias("f")), few.select(*key, F.col("fp").alias("g"))
+    met = x.join(y, key).where("f < g").select("f", "g")
+    if not many.isEmpty():
+        if k == max_bits:
+            met = met.union(_probe(many, k))
+        else:
+            first = spool(many.groupBy(*key).agg(F.min("fp").alias("f")), "simhash_first")
+            met = met.union(many.join(first, key).where("f < fp").select("f", F.col("fp").alias("g")))
+            met = met.union(candidates(many.select("fp").distinct(), max_bits=max_bits, pair_up=pair_up).select("f", "g"))
     differ = F.col("f").bitwiseXOR(F.col("g"))
     tally = sum((F.call_function("shiftright", differ, F.lit(8 * p)).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(8))
     return met.distinct().withColumn("equal_bytes", tally).where(F.col("equal_bytes") >= 8 - k)
@@ -123,12 +124,12 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataF
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 3, max_bits: int = 2, alike: float | None = None, alike_width: int = 5, pair_up: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, width: int = 3, max_bits: int = 2, free_bytes: int | None = None, alike: float | None = None, alike_width: int = 5, pair_up: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
     Fingerprints of shingles of ``width`` words link at ``max_bits`` or fewer differing bits. With ``alike``, the pairs that the
-    index finds (all within ``max_bits``, and those further apart that share as many bytes) link if the sets of
+    index finds (all within ``max_bits``, and with more ``free_bytes`` also pairs further apart) link if the sets of
     ``alike_width``-word shingles of two texts have at least that Jaccard likeness. Equal fingerprints always link.
 
     Null and blank texts have fingerprint 0 and link like any others. A null id is smaller than all
@@ -138,7 +139,7 @@ def near_duplicates(
     fps = spool(fingerprints(docs, width, id_col=id_col, text_col=text_col), "simhash")
     node = F.coalesce("doc_id", F.lit(NULL_ID))
     entries = spool(fps.groupBy("fp").agg(F.min(node).alias("lead")), "simhash_entries")
-    pairs = candidates(entries, max_bits=max_bits, pair_up=pair_up)
+    pairs = candidates(entries, max_bits=max_bits, free_bytes=free_bytes, pair_up=pair_up)
     if alike is None:
         pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
     x, y = (entries.select(F.col("fp").alias(f), F.col("lead").alias(a)) for f, a in (("f", "a"), ("g", "b")))
