@@ -248,8 +248,9 @@ _register(_col_stats, "col_stats", "select count(*) as n, count(distinct p_size)
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
-    """An engine over the test tables, with its own tables in a folder to be removed."""
-    root = tempfile.mkdtemp(prefix="tessera-engine-")
+    """An engine over the test tables, with its own tables in a folder to be removed: a shared one, where the session names it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = tempfile.mkdtemp(prefix="tessera-engine-", dir=shared.removeprefix("file://") if shared else None)
     e = Engine(spark, root)
     for t in TABLES:
         e.register_parquet(t, f"{sf_dir}/{t}.parquet")

@@ -83,7 +83,7 @@ def explain(df: DataFrame, steps: list[tuple[str, str]], *, analyze: bool = Fals
     execution = df._jdf.queryExecution()
     optimized = _logical(execution.optimizedPlan())
     if analyze and changed is None:
-        df._jdf.collectToPython()
+        execution.toRdd().count()  # runs the plan and leaves its rows where they are
     node: Node | None = None
     for name, detail in steps:
         node = Node(f"{name} ({detail})" if detail else name, [node] if node else [])

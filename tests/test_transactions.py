@@ -124,3 +124,20 @@ def test_stream(db, spark, tmp_path):
     q = append_stream(db, spark.readStream.schema("k int, v int").parquet(src), "t", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert read(db) == [(1, 10), (2, 20), (5, 50), (6, 60)]
+
+
+def test_key_index(db):
+    from tessera.errors import EngineError
+    from tessera.sources import KeyIndex
+
+    index = KeyIndex(db, "t")
+    assert not index.is_empty() and tuple(index.get(2)) == (2, 20) and index.get(9) is None
+    index.insert((5, 50))
+    with pytest.raises(EngineError, match="Duplicate key: 5"):
+        index.insert((5, 51))
+    assert [r.k for r in index.scan().collect()] == [1, 2, 5] and [r.k for r in index.scan(2, 4).collect()] == [2] and [r.k for r in index.scan(high=1).collect()] == [1]
+    assert index.remove(1) and not index.remove(1) and [r.k for r in index.scan(0).collect()] == [2, 5]
+    a = db.begin()
+    KeyIndex(db, "t", a).remove(2)
+    assert KeyIndex(db, "t", a).get(2) is None and index.get(2) is not None
+    db.abort(a)
