@@ -80,6 +80,7 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_
         .where(F.col("docs") >= min_docs)
         .select("h", "keeper")
     )
+    common = spool(common, "common_lines")  # a table of known size: small ones are broadcast, else a hot line's rows can be split
     words = (
         runs.join(common, "h")
         .where(F.col("__d") < F.col("keeper"))
