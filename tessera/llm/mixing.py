@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import offsets, range_spool
+from tessera.llm.common import offsets, range_spool, spool
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Signs that prose has few of.
@@ -96,7 +96,7 @@ def mix(
         (-F.ln(uniform(seed, F.col(id_col))) / (prose_share(text) if quality is None else quality)).alias("key"),
     )
     order = [F.asc_nulls_last("source"), F.asc("key"), F.asc_nulls_first("doc_id"), F.asc("size")]
-    rows = range_spool(base, order, "mix")
+    rows = range_spool(spool(base, "mix_base"), order, "mix")  # texts are read once, not again to find the ranges
     parts = rows.groupBy("source", "__pid").agg(F.sum("size").alias("size"))
     before = offsets(parts, ["size"], ["source"])
     plan = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, epochs=epochs)
