@@ -177,7 +177,7 @@ def _nodes(texts: DataFrame, asked: DataFrame, length: int, block: int) -> DataF
 def _refine(nodes: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
     """Settled windows (doc, first, last), and one row of each kind whose core several kinds share."""
     kinds = spool(nodes.groupBy(*core, "hi", "lo", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("one")), "suffix_kinds")
-    twice = kinds.where("n > 1").select(*core, "hi", "lo", "u")
+    twice = spool(kinds.where("n > 1").select(*core, "hi", "lo", "u"), "suffix_twice")
     repeated = nodes.join(twice, [*core, "hi", "lo", "u"]).select("doc", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
     mixed = kinds.groupBy(*core).agg(F.count("*").alias("m")).where("m > 1").select(*core)
     again = kinds.join(mixed, core).select("one.doc", "one.a", "hi", "lo")
@@ -208,7 +208,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     texts = spark.table(name)
 
     found = spool(_anchors(texts.select("doc", "text").where(F.length("text") >= length), length), "suffix_anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a table of its own, so that the join below can split the rows of a hot bucket
+    shared = spool(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix_shared")
     repeated, again = _refine(spool(found.join(shared, "h"), "suffix_level0"), ["h"])
     settled = [repeated]
     for i, block in enumerate(BLOCKS):
