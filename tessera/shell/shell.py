@@ -11,17 +11,17 @@ from tessera.engine import Engine, Result
 from tessera.errors import CatalogError
 from tessera.sources.catalog import type_name
 
-#: Meta commands and what they do.
+#: Meta commands and what they are for.
 HELP = {
-    ".help": "Show this message",
-    ".exit": "Exit this program",
-    ".quit": "Exit this program",
-    ".tables": "List names of tables",
-    ".schema <table>": "Show the CREATE TABLE statement",
-    ".describe <table>": "Show columns and types",
-    ".indexes <table>": "Show what a table is sorted by",
-    ".stats": "Show engine statistics",
-    ".read <filepath>": "Run a script",
+    ".help": "List these commands",
+    ".exit": "Leave the shell",
+    ".quit": "The same",
+    ".tables": "All tables by name",
+    ".schema <table>": "A statement that would create the table",
+    ".describe <table>": "The table's columns with their types",
+    ".indexes <table>": "What the table's files are sorted by",
+    ".stats": "Counts of what the engine holds",
+    ".read <filepath>": "Run the statements of a file",
 }
 PROMPT, MORE = "tessera> ", "....> "
 
