@@ -7,7 +7,8 @@ Texts are dealt out by ranges of the id and each range is streamed in order, so
 meets its successor in the stream and texts move once. Only the last document of a
 range looks for its successor elsewhere: one join of a row per range.
 
-``links`` finds similar fingerprints: bands of lanes are joined, and what meets is verified.
+``links`` and ``classes`` find near copies: bands of lanes are joined, and pairs that meet in a band are verified by the Jaccard
+likeness of their whole fingerprints; ``alike`` verifies pairs by their texts' sets of shingles.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import range_spool, small_batches, spool
+from tessera.llm.common import NULL_ID, components, small_batches, spool
 
 LANES, WIDTH, SEED = 64, 5, 7
+#: Bands of fingerprints: two texts alike by 0.8 share one of 16 bands of 4 lanes with a probability of 0.9998.
+BANDS = 16
 BLOCK = 512
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
@@ -81,6 +85,13 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way through the shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["doc_id", "text", "t"])
+
+
 def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(n).type) for k, n in enumerate(names)], names)
 
@@ -111,9 +122,11 @@ def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = head = None
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for doc_id, text, pid in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, packed, pid in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                text = unpack(packed).decode()
                 sig = signature(shingles(text, width), lanes)
                 if held:
                     i, t, s, p = held
@@ -133,7 +146,8 @@ def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH
 
     order = [F.asc_nulls_first("doc_id"), F.asc("t")]
     text = F.coalesce(docs[text_col], F.lit(""))
-    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t")).repartitionByRange(*order).sortWithinPartitions(*order)
+    squeezed = docs.select(docs[id_col].cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("t")).mapInArrow(_squeeze, "doc_id long, text binary, t long")
+    dealt = squeezed.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = spool(dealt.select("doc_id", "text", F.spark_partition_id().alias("pid")).mapInArrow(stream, f"{ROW}, {edge}"), "minhash")
 
     heads = rows.where("head is not null").select("pid", F.col("head").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
@@ -154,6 +168,71 @@ def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH
 
 
 def same_lanes(x: Column, y: Column, lanes: int = LANES) -> Column:
-    """Likeness of two fingerprints as a column."""
+    """The share of equal lanes of two fingerprints as a column."""
     part = lambda c, k: F.substring(c, 2 * k + 1, 2)
     return sum(((part(x, k) == part(y, k)).cast("int") for k in range(lanes)), F.lit(0)) / lanes
+
+
+def links(entries: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, pair_up: int = 64) -> DataFrame:
+    """Distinct ``fingerprint`` with ``lead`` -> pairs ``a`` < ``b`` of leads that share a band and are alike by ``least``.
+
+    The entries of a band's bucket are paired off up to ``pair_up``. In a larger one each is compared with the first, which stands for
+    those that are like it; the others go to buckets of two bands, which texts alike by 0.8 share with a probability of 0.997, and are compared
+    with the first one there.
+    """
+    size = 2 * lanes // bands
+    pieces = F.array(*[F.substring("fingerprint", size * i + 1, size) for i in range(bands)])
+    prints = entries.select("lead", "fingerprint")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (prints.select(F.col("lead").alias(i), F.col("fingerprint").alias(f)) for i, f in (("a", "f"), ("b", "g")))
+        return pairs.distinct().join(x, "a").join(y, "b").where(same_lanes(F.col("f"), F.col("g"), lanes) >= least).select("a", "b")
+
+    posts, key, found = entries.select("lead", F.posexplode(pieces).alias("b0", "p0")), ["b0", "p0"], None
+    for level, most in ((1, pair_up), (2, 1)):
+        sizes = spool(posts.groupBy(*key).agg(F.count("*").alias("n"), F.min("lead").alias("first")).where("n > 1"), f"minhash_sizes{level}")
+        posts = spool(posts.join(sizes, key), f"minhash_posts{level}")
+        few, many = posts.where(F.col("n") <= most), posts.where((F.col("n") > most) & (F.col("lead") != F.col("first")))
+        x, y = few.select(*key, F.col("lead").alias("a")), few.select(*key, F.col("lead").alias("b"))
+        paired = verified(x.join(y, key).where("a < b").select("a", "b"))
+        led = spool(verified(many.select(F.col("first").alias("a"), F.col("lead").alias("b"))), f"minhash_led{level}")
+        found = paired.union(led) if found is None else found.union(paired).union(led)
+        rest = many.join(led.select(F.col("a").alias("first"), F.col("b").alias("lead")), ["first", "lead"], "left_anti").select("lead", *key)
+        if level == 2 or rest.isEmpty():
+            return found.distinct()
+        posts = spool(rest, "minhash_rest").join(prints, "lead").select("lead", *key, F.posexplode(pieces).alias("b1", "p1")).where("b1 <> b0")
+        key = [*key, "b1", "p1"]
+
+
+def classes(rows: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, pair_up: int = 64) -> DataFrame:
+    """``rows`` (``doc_id``, ``fingerprint``, ...) with ``class_id``: the smallest id reached by links between fingerprints alike by ``least``.
+
+    Equal fingerprints are one entry. A null id is smaller than all others. An empty table gives an empty result.
+    """
+    node = F.coalesce("doc_id", F.lit(NULL_ID))
+    entries = spool(rows.groupBy("fingerprint").agg(F.min(node).alias("lead")), "minhash_entries")
+    lead = entries.groupBy("lead").agg(F.min("fingerprint").alias("fingerprint"))  # an id may have had several texts
+    lead = spool(lead, "minhash_leads")
+    found = components(links(lead, least=least, lanes=lanes, bands=bands, pair_up=pair_up), tag="minhash_cc")
+    known = entries.join(found, F.col("lead") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "lead").alias("__c"))
+    return rows.join(known, "fingerprint").select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, least: float = 0.8, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs ``a``, ``b`` of ids whose texts' sets of word shingles have a Jaccard likeness of ``least`` or more, with it as ``jaccard``.
+
+    Only texts of the ids asked for are shingled. Ids must be unique in ``docs``; pairs with unknown ids are left out.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingles(t or "", width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["i", "s"])
+
+    asked = spool(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "alike_asked")
+    texts = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")).join(asked, "i")
+    texts = spool(texts.mapInArrow(sets, "i long, s array<long>"), "alike_sets")
+    both = pairs.join(texts.select(F.col("i").alias("a"), F.col("s").alias("x")), "a").join(texts.select(F.col("i").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    jaccard = common / F.nullif(F.size("x") + F.size("y") - common, F.lit(0))
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)

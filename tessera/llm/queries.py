@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm import langid, toxicity
 from tessera.llm.common import documents
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.minhash import fingerprint_pairs
+from tessera.llm.minhash import classes, fingerprint_pairs
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
@@ -70,7 +70,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_pairs(documents(spark, sf_dir)).withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    found = classes(fingerprint_pairs(documents(spark, sf_dir)))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
