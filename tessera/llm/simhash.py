@@ -27,23 +27,30 @@ from tessera.llm.minhash import shingles
 SEED = 42
 
 
+def _words(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text in lower case (A-Z) with one space between words, and where each word begins and ends."""
+    b = np.frombuffer(text.encode().lower(), np.uint8)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    line = np.where(gap, np.uint8(32), b)[~gap | np.append(~gap[1:], False)].tobytes().lstrip(b" ")
+    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
+    return line, np.append(0, ends[:-1] + 1), ends
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Signed 64-bit SimHash of the word shingles of one text, words lower-cased in A-Z."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()
-    if not words:
+    line, starts, ends = _words(text or "")
+    if not line:
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(width, len(words))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in spans], np.uint64)
+    width = min(width, len(starts))
+    starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+    for k in range(0, len(starts), 1 << 15):
+        spans = zip(starts[k : k + (1 << 15)].tolist(), ends[k : k + (1 << 15)].tolist(), strict=True)
+        hashes = np.array([xxh64_intdigest(line[a:z], SEED) for a, z in spans], ">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
