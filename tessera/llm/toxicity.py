@@ -12,6 +12,7 @@ sample (``max_rows`` documents, chosen by a hash of the id); scoring reads every
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -27,6 +28,8 @@ from tessera.llm.common import small_batches, spool
 BUCKETS, DIM, FILTERS, WIDTHS, SEED = 1 << 18, 12, 8, (1, 2, 3), 11
 PREFIXES = (3, 4, 5)
 WORD = re.compile(r"[^\W\d_]+")
+#: So many languages at most get a threshold of their own, which bounds the model.
+MAX_LANGS = 64
 #: The score at which a text counts as toxic.
 CUT = 0.3
 
@@ -116,13 +119,16 @@ def fit(rows: list[tuple[str, int, str]], *, epochs: int = 12, batch: int = 32,
     rng = np.random.default_rng(seed)
     feats, texts = _number([words_of(t) for t, _, _ in rows], Features())
     label = np.array([y for _, y, _ in rows], np.float32)
-    names = sorted({lang for _, _, lang in rows})
-    lang = np.array([names.index(x) for _, _, x in rows], np.int64)
+    # languages with a threshold of their own; what is rarer shares the last one
+    common = Counter(x for _, _, x in rows).most_common()
+    names = sorted(x for x, n in common[:MAX_LANGS] if n >= 20) + [None]
+    lang = np.array([names.index(x) if x in names else len(names) - 1 for _, _, x in rows], np.int64)
 
-    by_lang = np.zeros((BUCKETS, max(1, len(names))))
+    by_lang = np.zeros((BUCKETS, len(names)))
     for t, k in zip(texts, lang, strict=True):
         np.add.at(by_lang[:, k], feats[t, 0] if t else [], 1)
-    by_lang = np.log((by_lang + 0.1) / (by_lang.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
+    words = by_lang.sum(0)
+    by_lang = np.where(words > 0, np.log((by_lang + 0.1) / (words + 0.1 * BUCKETS)), -1e6).astype(np.float32)  # a class without rows is never found
 
     fold = rng.integers(0, 5, len(rows))  # 0, 1: where a start for the embedding is counted; 4: calibration
     count = np.zeros((2, BUCKETS))
@@ -138,7 +144,7 @@ def fit(rows: list[tuple[str, int, str]], *, epochs: int = 12, batch: int = 32,
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0, : FILTERS // 2] += 1 / len(f)
-    m = Model(embedding, filters, np.full(FILTERS * len(WIDTHS), -0.5, np.float32), np.full(FILTERS * len(WIDTHS), 0.2, np.float32), -2.0, by_lang, np.zeros(max(1, len(names))))
+    m = Model(embedding, filters, np.full(FILTERS * len(WIDTHS), -0.5, np.float32), np.full(FILTERS * len(WIDTHS), 0.2, np.float32), -2.0, by_lang, np.zeros(len(names)))
 
     slow = {k: np.full(x.shape, 1e-4, np.float32) for k, x in (("e", m.embedding), ("b", m.bias), ("w", m.weight), *((f"f{i}", f) for i, f in enumerate(m.filters)))}
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import langid, toxicity
 from tessera.llm.common import components
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.minhash import edit, fingerprint_pairs, likeness, shingles, signature
+from tessera.llm.minhash import alike, classes, edit, fingerprint_pairs, likeness, shingles, signature
 from tessera.llm.mixing import mix, targets
 from tessera.llm.packing import encoder, pack, plan
 from tessera.llm.sharding import shard_by_bytes
@@ -442,6 +442,32 @@ def test_likeness_estimates_jaccard():
     assert likeness(signature(a), signature(a)) == 1 and likeness(signature(a), signature(a[:0])) == 0
 
 
+@pytest.mark.parametrize("pair_up", [512, 3])
+def test_classes(spark, pair_up):
+    r = random.Random(5)
+    base = [prose(500 + k, 300).split() for k in range(6)]
+    data = []
+    for k, words in enumerate(base):
+        for j in range(10):
+            near = list(words)
+            for _ in range(j % 4):
+                near[r.randrange(len(near))] = f"edit{r.random()}"
+            data.append((100 * k + j, " ".join(near)))
+    data += [(9000 + k, None) for k in range(3)] + [(None, prose(1, 99)), (None, prose(2, 99))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    found = classes(fingerprint_pairs(df), pair_up=pair_up).collect()
+    assert len(found) == len(data) and all(x.class_id == (None if x.doc_id is None else 9000 if x.doc_id >= 9000 else x.doc_id // 100 * 100) for x in found)
+    pairs = spark.createDataFrame([(a, b) for a in range(10) for b in [*range(a + 1, 10), 100]] + [(0, 77)], "a long, b long")
+    sets = {i: set(shingles(t).tolist()) for i, t in data if t}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs.collect() if b != 77}
+    got = {(x.a, x.b): x.jaccard for x in alike(df, pairs, 0.9).collect()}
+    assert got == {p: j for p, j in want.items() if j >= 0.9}
+
+
+def test_classes_of_nothing(empty):
+    assert classes(fingerprint_pairs(empty)).count() == 0
+
+
 # search
 
 
@@ -465,3 +491,12 @@ def test_search(docs, rows):
         assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items() if v}
         for q, v in got.items():
             assert [s for _, s in v] == pytest.approx([s for _, s in want[q]], abs=1e-4)
+
+
+def test_toxicity_languages_are_bounded():
+    r = random.Random(9)
+    rows = [(prose(i, 20), i % 2, f"lang{i % 200}" if i % 2 else "en") for i in range(600)]
+    model = toxicity.fit(rows, epochs=1)
+    assert model.langs.shape[1] <= toxicity.MAX_LANGS + 1 and np.isfinite(model.langs).all()
+    feats, texts = toxicity._number([toxicity.words_of(r.choice(rows)[0])], toxicity.Features())
+    assert 0 <= toxicity.scores(model, feats, texts)[0] <= 1
