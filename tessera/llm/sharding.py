@@ -38,7 +38,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id
         ),
         "shard_base",
     )
-    groups = base.groupBy("same").agg(F.min("doc_id").alias("lead"), F.sum("size").alias("group_size"))
+    # a table of its own, so that the join can split the rows of a hot text
+    groups = spool(base.groupBy("same").agg(F.min("doc_id").alias("lead"), F.sum("size").alias("group_size")), "shard_groups")
     placed = base.join(groups, "same")
     order = [F.asc_nulls_first(c) for c in ("lead", "same", "doc_id", "size")]
     rows = range_spool(placed, order, "shard_ranges")
