@@ -7,14 +7,14 @@ Texts are dealt out by ranges of the id and each range is streamed in order, so
 meets its successor in the stream and texts move once. Only the last document of a
 range looks for its successor elsewhere: one join of a row per range.
 
-``links`` and ``classes`` find near copies: bands of lanes are joined, and pairs that meet in a band are verified by the Jaccard
-likeness of their whole fingerprints; ``alike`` verifies pairs by their texts' sets of shingles.
+``linked`` and ``classes`` find near copies: bands of lanes are joined, and pairs that meet in a band are verified by the Jaccard
+likeness of their texts' sets of shingles; ``alike`` does so for given pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -167,55 +167,151 @@ def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH
     return rows.where("tail is null").select(*names[:7]).union(closed)
 
 
-def same_lanes(x: Column, y: Column, lanes: int = LANES) -> Column:
-    """The share of equal lanes of two fingerprints as a column."""
-    part = lambda c, k: F.substring(c, 2 * k + 1, 2)
-    return sum(((part(x, k) == part(y, k)).cast("int") for k in range(lanes)), F.lit(0)) / lanes
+def nodes(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH, also: Callable[[str], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: its id ``i`` (``NULL_ID`` for null), hashes of its text ``t`` and of its set of shingles ``node``, ``fingerprint``, and ``also`` of the text as ``fp``."""
+    small_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-def links(entries: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, pair_up: int = 64) -> DataFrame:
-    """Distinct ``fingerprint`` with ``lead`` -> pairs ``a`` < ``b`` of leads that share a band and are alike by ``least``.
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            sets = [np.unique(shingles(t, width)) for t in texts]
+            node = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            prints = [signature(x, lanes).tobytes() for x in sets]
+            fps = [also(t) if also else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(prints, pa.binary()), pa.array(fps, pa.int64())], ["i", "t", "node", "fingerprint", "fp"])
 
-    The entries of a band's bucket are paired off up to ``pair_up``. In a larger one each is compared with the first, which stands for
-    those that are like it; the others go to buckets of two bands, which texts alike by 0.8 share with a probability of 0.997, and are compared
-    with the first one there.
-    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return spool(rows.mapInArrow(run, "i long, t long, node long, fingerprint binary, fp long"), "near_nodes")
+
+
+def text_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """What gives the ``set`` of shingles of each ``node`` asked for, from one text that has it; ``rows`` are those of ``nodes(docs)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingles(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
+
+    def sets(asked: DataFrame) -> DataFrame:
+        of = rows.join(asked, "node").groupBy("node").agg(F.min(F.struct("i", "t")).alias("x")).select("node", "x.*")
+        text = F.coalesce(docs[text_col], F.lit(""))
+        texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+        found = texts.join(spool(of, "near_asked"), ["i", "t"]).select("node", "text").mapInArrow(run, "node long, set array<long>")
+        return spool(found.dropDuplicates(["node"]), "near_sets")
+
+    return sets
+
+
+def band_posts(lanes: int = LANES, bands: int = BANDS) -> Column:
+    """The postings of a ``fingerprint``: one for each band."""
     size = 2 * lanes // bands
-    pieces = F.array(*[F.substring("fingerprint", size * i + 1, size) for i in range(bands)])
-    prints = entries.select("lead", "fingerprint")
+    return F.array(*[F.struct(F.lit(i).cast("long").alias("fixed"), F.xxhash64(F.substring("fingerprint", size * i + 1, size)).alias("value")) for i in range(bands)])
+
+
+def _within(least: float) -> Callable[[pa.Table], pa.Table]:
+    """Links among the rows ``node``, ``c``, ``set`` of a block that join different ``c``."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, c = block["node"].to_numpy(), block["c"].to_numpy()
+        sets = [np.array(x, np.int64) for x in block["set"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        parent = {x: x for x in c.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        kinds, count = np.unique(c, return_counts=True)
+        out = []
+        for k in np.flatnonzero(c != kinds[count.argmax()]):
+            lo, hi = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+            n = hi - lo
+            common = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            for m in np.flatnonzero(common >= least * (sizes + sizes[k] - common)):
+                x, y = root(int(c[k])), root(int(c[m]))
+                if x != y:
+                    parent[x] = y
+                    out.append((int(node[k]), int(node[m])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def linked(entries: DataFrame, posts: Column, sets: Callable[[DataFrame], DataFrame], *, least: float, known: DataFrame | None = None, pair_up: int = 64, tag: str = "near") -> DataFrame:
+    """``node``, ``component``: the components of all pairs of nodes that share a posting and whose sets have a Jaccard likeness of ``least``.
+
+    ``entries`` have a ``node`` each, ``posts`` gives their postings (``fixed``, ``value``), ``sets`` the ``set`` of the nodes asked for;
+    ``known`` are components found before. Pairs within a component need no check. Each node is first compared with the least and the
+    greatest of its postings. Where a posting still holds several components after that, all its pairs of different components are verified:
+    one by one, or if it has over ``pair_up`` nodes in pairs of blocks, a task each, that give a link per two components and no more.
+    """
+    key = ["fixed", "value"]
+
+    def marked(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        return rows.withColumn("c", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+    def several(rows: DataFrame, more_than: int, name: str) -> DataFrame:
+        of = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        of = spool(of.where((F.col("n") > more_than) & (F.col("lo") != F.col("hi"))).drop("lo", "hi"), f"{tag}_sizes{name}")
+        return spool(rows.join(of, key), f"{tag}_posts{name}")
+
+    post = marked(entries, known).select("node", "c", F.explode(posts).alias("p")).select("node", "c", "p.*").distinct()
+    post = several(post, 1, "")
+    own = sets(post.select("node").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (prints.select(F.col("lead").alias(i), F.col("fingerprint").alias(f)) for i, f in (("a", "f"), ("b", "g")))
-        return pairs.distinct().join(x, "a").join(y, "b").where(same_lanes(F.col("f"), F.col("g"), lanes) >= least).select("a", "b")
-
-    posts, key, found = entries.select("lead", F.posexplode(pieces).alias("b0", "p0")), ["b0", "p0"], None
-    for level, most in ((1, pair_up), (2, 1)):
-        sizes = spool(posts.groupBy(*key).agg(F.count("*").alias("n"), F.min("lead").alias("first")).where("n > 1"), f"minhash_sizes{level}")
-        posts = spool(posts.join(sizes, key), f"minhash_posts{level}")
-        few, many = posts.where(F.col("n") <= most), posts.where((F.col("n") > most) & (F.col("lead") != F.col("first")))
-        x, y = few.select(*key, F.col("lead").alias("a")), few.select(*key, F.col("lead").alias("b"))
-        paired = verified(x.join(y, key).where("a < b").select("a", "b"))
-        led = spool(verified(many.select(F.col("first").alias("a"), F.col("lead").alias("b"))), f"minhash_led{level}")
-        found = paired.union(led) if found is None else found.union(paired).union(led)
-        rest = many.join(led.select(F.col("a").alias("first"), F.col("b").alias("lead")), ["first", "lead"], "left_anti").select("lead", *key)
-        if level == 2 or rest.isEmpty():
-            return found.distinct()
-        posts = spool(rest, "minhash_rest").join(prints, "lead").select("lead", *key, F.posexplode(pieces).alias("b1", "p1")).where("b1 <> b0")
-        key = [*key, "b1", "p1"]
-
-
-def classes(rows: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, pair_up: int = 64) -> DataFrame:
-    """``rows`` (``doc_id``, ``fingerprint``, ...) with ``class_id``: the smallest id reached by links between fingerprints alike by ``least``.
-
-    Equal fingerprints are one entry. A null id is smaller than all others. An empty table gives an empty result.
+        x, y = (own.select(F.col("node").alias(i), F.col("set").alias(s)) for i, s in (("a", "s"), ("b", "t")))
+        common = F.size(F.array_intersect("s", "t"))
+        return pairs.join(x, "a").join(y, "b").where(common >= least * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+    ends = F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b"))))
+    tried = spool(post.select(ends.alias("p")).select("p.*").where("a < b").distinct(), f"{tag}_tried")
+    links = spool(verified(tried), f"{tag}_links")
+    before = links if known is None else links.union(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    found = components(before, tag=f"{tag}_cc")
+
+    rest = several(marked(post.select("node", *key), found), 3, "_rest")
+    few, many = rest.where(F.col("n") <= pair_up), rest.where(F.col("n") > pair_up)
+    x, y = (few.select(*key, F.col("node").alias(i), F.col("c").alias(c)) for i, c in (("a", "c"), ("b", "d")))
+    more = verified(x.join(y, key).where("a < b and c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    blocks = F.ceil(F.col("n") / pair_up).cast("long")
+    mine = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = mine.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "c").join(own, "node")
+    more = spool(more.union(dealt.groupBy(*key, "x", "y").applyInArrow(_within(least), "a long, b long")), f"{tag}_more")
+    if more.isEmpty():
+        return found
+    return components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_all")
+
+
+def classes(rows: DataFrame, docs: DataFrame | None = None, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, width: int = WIDTH, pair_up: int = 64) -> DataFrame:
+    """``rows`` (``doc_id``, ``fingerprint``, ...) with ``class_id``: the smallest id reached by links between texts that share a band and are alike by ``least``.
+
+    Links are verified by the Jaccard likeness of the sets of shingles of the texts in ``docs``, whose fingerprints ``rows`` are. Without ``docs``
+    the share of equal lanes stands for it, an estimate. Equal sets are one entry. A null id is smaller than all others. An
+    empty table gives an empty result.
     """
-    node = F.coalesce("doc_id", F.lit(NULL_ID))
-    entries = spool(rows.groupBy("fingerprint").agg(F.min(node).alias("lead")), "minhash_entries")
-    lead = entries.groupBy("lead").agg(F.min("fingerprint").alias("fingerprint"))  # an id may have had several texts
-    lead = spool(lead, "minhash_leads")
-    found = components(links(lead, least=least, lanes=lanes, bands=bands, pair_up=pair_up), tag="minhash_cc")
-    known = entries.join(found, F.col("lead") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "lead").alias("__c"))
-    return rows.join(known, "fingerprint").select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))
+    i = F.coalesce("doc_id", F.lit(NULL_ID)).alias("i")
+    if docs is None:
+        of = spool(rows.select(i, "fingerprint").distinct().withColumn("node", F.xxhash64("fingerprint")), "near_nodes")
+        lane = [F.conv(F.hex(F.substring("fingerprint", 2 * k + 1, 2)), 16, 10).cast("long") + (k << 16) for k in range(lanes)]
+        sets = lambda asked: of.dropDuplicates(["node"]).join(asked, "node").select("node", F.array(*lane).alias("set"))
+        least /= 2 - least  # what two sets with that share of equal lanes have in common
+    else:
+        of = nodes(docs, lanes=lanes, width=width)
+        sets = text_sets(docs, of, width)
+    found = linked(of.select("node", "fingerprint").distinct(), band_posts(lanes, bands), sets, least=least, pair_up=pair_up, tag="minhash")
+    known = of.join(found, "node", "left").select("i", "fingerprint", F.coalesce("component", "node").alias("c")).distinct()
+    lead = spool(known.groupBy("c").agg(F.min("i").alias("lead")), "minhash_leads")
+    known = spool(known.join(lead, "c").groupBy("i", "fingerprint").agg(F.min("lead").alias("__c")), "minhash_known")
+    joined = rows.withColumn("i", i).join(known, ["i", "fingerprint"])
+    return joined.select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))
 
 
 def alike(docs: DataFrame, pairs: DataFrame, least: float = 0.8, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

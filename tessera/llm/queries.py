@@ -70,7 +70,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(fingerprint_pairs(documents(spark, sf_dir)))
+    docs = documents(spark, sf_dir)
+    found = classes(fingerprint_pairs(docs), docs)
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 

@@ -4,7 +4,7 @@ Two 64-bit fingerprints that differ in at most k bits differ in at most k of the
 they are guaranteed to match in 8 - k byte positions. The index posts each distinct fingerprint
 under every set of 8 - k positional bytes, so any pair with the guaranteed minimum of matches meets
 in a posting, and with 4 bytes or more to agree on hardly any other pair does. Pairs that met are tallied
-(their equal bytes) and verified: bit by bit, or by the Jaccard likeness of their texts' shingles.
+(their equal bytes) and verified bit by bit; where texts are compared by the Jaccard likeness of their shingles, see ``linked``.
 
 Equal fingerprints are one entry of the index, so copies never form pairs. A posting that holds
 many entries is not paired off but probed: each entry looks up the values at most k bits away in the
@@ -14,6 +14,7 @@ posting's free bytes, so the work stays in proportion to the entries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, components, small_batches, spool
-from tessera.llm.minhash import shingles
+from tessera.llm.minhash import band_posts, linked, nodes, text_sets
 
 SEED = 42
 
@@ -112,48 +113,29 @@ def candidates(entries: DataFrame, *, max_bits: int = 2, free_bytes: int | None
     return met.distinct().withColumn("equal_bytes", tally).where(F.col("equal_bytes") >= 8 - k)
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """Pairs of ids ``a``, ``b`` (fingerprints ``f``, ``g``) whose texts' sets of word shingles have a Jaccard likeness of ``least``."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            own = [np.unique(shingles(t or "", width)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int64()))], ["i", "fp", "set"])
-
-    asked = spool(pairs.select(F.col("a").alias("i"), F.col("f").alias("fp")).union(pairs.select("b", "g")).distinct(), "simhash_asked")
-    texts = docs.join(asked, "i").select("i", "text", "fp").mapInArrow(sets, "i long, fp long, set array<long>").dropDuplicates(["i", "fp"])
-    texts = spool(texts, "simhash_sets")
-    x, y = (texts.select(F.col("i").alias(i), F.col("fp").alias(f), F.col("set").alias(s)) for i, f, s in (("a", "f", "s"), ("b", "g", "t")))
-    both = pairs.join(x, ["a", "f"]).join(y, ["b", "g"])
-    common = F.size(F.array_intersect("s", "t"))
-    return both.where(common >= least * (F.size("s") + F.size("t") - common)).select("a", "b")
-
-
 def near_duplicates(
     docs: DataFrame, *, width: int = 3, max_bits: int = 2, free_bytes: int | None = None, alike: float | None = None, alike_width: int = 5, pair_up: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
-    Fingerprints of shingles of ``width`` words link at ``max_bits`` or fewer differing bits. With ``alike``, the pairs that the
-    index finds (all within ``max_bits``, and with more ``free_bytes`` also pairs further apart) link if the sets of
-    ``alike_width``-word shingles of two texts have at least that Jaccard likeness. Equal fingerprints always link.
+    Fingerprints of shingles of ``width`` words link at ``max_bits`` or fewer differing bits, and equal ones always. With ``alike``, texts link
+    if their sets of ``alike_width``-word shingles have at least that Jaccard likeness, whatever their fingerprints; candidates are pairs
+    that share a band of MinHash lanes of these sets, and those of the index (all within ``max_bits``, and with more ``free_bytes``
+    also all further apart that agree on the other bytes). The components are those of all such pairs (``linked``).
 
     Null and blank texts have fingerprint 0 and link like any others. A null id is smaller than all
     others. Repeated ids are one node, so the components of their texts are joined. Texts are read whole. An empty
     table gives an empty result. Other columns don't matter.
     """
+    if alike is not None:
+        return _near_texts(docs, width, free_bytes or max_bits, alike, alike_width, pair_up, id_col, text_col)
     fps = spool(fingerprints(docs, width, id_col=id_col, text_col=text_col), "simhash")
     node = F.coalesce("doc_id", F.lit(NULL_ID))
     entries = spool(fps.groupBy("fp").agg(F.min(node).alias("lead")), "simhash_entries")
     pairs = candidates(entries, max_bits=max_bits, free_bytes=free_bytes, pair_up=pair_up)
-    if alike is None:
-        pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
+    pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits)
     x, y = (entries.select(F.col("fp").alias(f), F.col("lead").alias(a)) for f, a in (("f", "a"), ("g", "b")))
     pairs = spool(pairs.select("f", "g").join(x, "f").join(y, "g"), "simhash_pairs")
-    if alike is not None:
-        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i"), F.col(text_col).alias("text"))
-        pairs = _alike(texts, pairs, alike_width, alike)
     repeated = fps.select(node.alias("b"), "fp").distinct().join(entries, "fp").select(F.col("lead").alias("a"), "b")
     several = repeated.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")  # ids that carry several fingerprints
     found = components(pairs.select("a", "b").union(repeated.join(several, "b").select("a", "b")), tag="simhash_cc")
@@ -161,3 +143,26 @@ def near_duplicates(
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id")
     )
+
+
+def _near_texts(docs: DataFrame, width: int, k: int, alike: float, alike_width: int, pair_up: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with a likeness: entries are pairs of a set of shingles and a fingerprint, and only equal sets link unchecked."""
+    rows = nodes(docs, width=alike_width, also=partial(fingerprint, width=width), id_col=id_col, text_col=text_col)
+    sets = text_sets(docs, rows, alike_width, id_col=id_col, text_col=text_col)
+    block = min(pair_up, 128)
+    found = linked(rows.select("node", "fingerprint").distinct(), band_posts(), sets, least=alike, pair_up=block, tag="near_bands")
+    masks = [_signed(sum(255 << 8 * p for p in range(8) if p not in free)) for free in combinations(range(8), k)]
+    posts = F.array(*[F.struct(F.lit(m).alias("fixed"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for m in masks])
+    found = linked(rows.select("node", "fp").distinct(), posts, sets, least=alike, known=found, pair_up=block, tag="near_bytes")
+    own = rows.join(found, "node", "left").select("i", "t", "fp", F.coalesce("component", "node").alias("c"))
+    own = spool(own, "near_own")
+    ids = own.select("i", "c").distinct()
+    several = ids.groupBy("i").agg(F.count("*").alias("n"), F.min("c").alias("a")).where("n > 1")  # ids in several components
+    joined = components(spool(ids.join(several, "i").select("a", F.col("c").alias("b")), "near_ids"), tag="near_ids_cc")
+    full = F.coalesce("component", "c")
+    leads = ids.join(joined, F.col("c") == F.col("node"), "left").select("i", "c", full.alias("d"))
+    least = spool(leads.groupBy("d").agg(F.min("i").alias("lead")), "near_leads")
+    lead = spool(leads.select("c", "d").distinct().join(least, "d").select("c", "lead"), "near_classes")
+    return own.join(lead, "c").select(
+        F.when(F.col("i") != NULL_ID, F.col("i")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("lead") != NULL_ID, F.col("lead")).alias("component_id")
+    )
