@@ -91,8 +91,8 @@ def _probe(many: DataFrame, k: int) -> DataFrame:
 def candidates(entries: DataFrame, *, max_bits: int = 2, free_bytes: int | None = None, pair_up: int = 512) -> DataFrame:
     """Distinct ``fp`` -> pairs ``f`` < ``g`` that meet in a posting, with ``equal_bytes``. No pair within ``max_bits`` is missing.
 
-    More ``free_bytes`` than that give smaller sets of bytes to agree on, and so also pairs that are further apart. A posting of
-    those with over ``pair_up`` entries pairs them with its first one only; what is within ``max_bits`` there is found as without.
+    More ``free_bytes`` than that give smaller sets of bytes to agree on, and so also all pairs further apart that agree on so many. A posting of
+    those with over ``pair_up`` entries is paired off in blocks.
     """
     k = free_bytes or max_bits
     postings, key = _postings(entries, k), ["fixed", "value"]
@@ -105,9 +105,13 @@ def candidates(entries: DataFrame, *, max_bits: int = 2, free_bytes: int | None
         if k == max_bits:
             met = met.union(_probe(many, k))
         else:
-            first = spool(many.groupBy(*key).agg(F.min("fp").alias("f")), "simhash_first")
-            met = met.union(many.join(first, key).where("f < fp").select("f", F.col("fp").alias("g")))
-            met = met.union(candidates(many.select("fp").distinct(), max_bits=max_bits, pair_up=pair_up).select("f", "g"))
+            # blocks of a posting against its other blocks, so that no task pairs off a whole posting
+            blocks = F.ceil(F.col("n") / pair_up).cast("long")
+            own = many.withColumn("own", F.pmod(F.xxhash64("fp"), blocks))
+            dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            x = dealt.select(*key, F.col("own").alias("x"), F.col("other").alias("y"), F.col("fp").alias("f"))
+            y = dealt.select(*key, F.col("other").alias("x"), F.col("own").alias("y"), F.col("fp").alias("g"))
+            met = met.union(x.join(y, [*key, "x", "y"]).where("f < g").select("f", "g"))
     differ = F.col("f").bitwiseXOR(F.col("g"))
     tally = sum((F.call_function("shiftright", differ, F.lit(8 * p)).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(8))
     return met.distinct().withColumn("equal_bytes", tally).where(F.col("equal_bytes") >= 8 - k)

@@ -57,3 +57,14 @@ def test_isolated_pairs_near_the_threshold(spark):
             data += [(len(data), s), (len(data) + 1, t)]
     found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), free_bytes=4, alike=0.8).collect()
     assert all(x.component_id == x.doc_id // 2 * 2 for x in found)
+
+
+@pytest.mark.parametrize("pair_up", [6, 1])
+def test_candidates_share_bytes(spark, pair_up):
+    r = np.random.default_rng(6)
+    f = np.unique(r.integers(0, 2**64, 1, dtype=np.uint64) ^ (r.integers(0, 2**32, 60, dtype=np.uint64) << np.uint64(16)))
+    f = np.unique(np.concatenate([f, f ^ np.uint64(0xFF00000000000000)]))
+    share = lambda a, b: sum(x == y for x, y in zip(int(a).to_bytes(8), int(b).to_bytes(8), strict=True)) >= 4
+    want = {frozenset((int(a), int(b))) for a in f for b in f if a < b and share(a, b)}
+    found = candidates(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), free_bytes=4, pair_up=pair_up).collect()
+    assert len(found) == len(want) and {frozenset((x.f % 2**64, x.g % 2**64)) for x in found} == want
