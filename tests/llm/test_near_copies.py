@@ -59,6 +59,15 @@ def test_isolated_pairs_near_the_threshold(spark):
     assert all(x.component_id == x.doc_id // 2 * 2 for x in found)
 
 
+def test_equal_fingerprints_of_unlike_texts(spark):
+    r = random.Random(4)
+    data = [(k, " ".join(words(r, 120) + ["na"] * 200)) for k in range(3)]
+    data.append((3, data[1][1]))
+    assert len({fingerprint(t) for _, t in data}) == 1
+    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), free_bytes=4, alike=0.8).collect()
+    assert {x.doc_id: x.component_id for x in found} == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("pair_up", [6, 1])
 def test_candidates_share_bytes(spark, pair_up):
     r = np.random.default_rng(6)
