@@ -77,3 +77,15 @@ def test_candidates_share_bytes(spark, pair_up):
     want = {frozenset((int(a), int(b))) for a in f for b in f if a < b and share(a, b)}
     found = candidates(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), free_bytes=4, pair_up=pair_up).collect()
     assert len(found) == len(want) and {frozenset((x.f % 2**64, x.g % 2**64)) for x in found} == want
+
+
+def test_classes_by_the_texts_likeness(spark):
+    r = random.Random(5)
+    data = []
+    for k in range(60):
+        text = words(r, 150)
+        data += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(changed(text, 3 + k % 3, r)))]
+    want = least_reachable(data)
+    assert 70 < len(set(want.values())) < 120
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in classes(fingerprint_pairs(df), df).collect()} == want
