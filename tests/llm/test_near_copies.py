@@ -79,6 +79,16 @@ def test_candidates_share_bytes(spark, pair_up):
     assert len(found) == len(want) and {frozenset((x.f % 2**64, x.g % 2**64)) for x in found} == want
 
 
+@pytest.mark.parametrize("pair_up", [64, 1])
+def test_groups_like_chains(spark, pair_up):
+    data = chain()
+    want = least_reachable(data)
+    assert set(want.values()) == {0, 99}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in classes(fingerprint_pairs(df), df, pair_up=pair_up).collect()} == want
+    assert {x.doc_id: x.component_id for x in near_duplicates(df, free_bytes=4, alike=0.8, pair_up=pair_up).collect()} == want
+
+
 def test_classes_by_the_texts_likeness(spark):
     r = random.Random(5)
     data = []
