@@ -6,16 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Stands for a null id inside an operator: below every id in practice.
+#: Stands for a null id inside an operator. A null id and the least of all longs are one id to those that use it.
 NULL_ID = -(2**63)
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +38,66 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        fs, at = _file_system(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _kept.add(path)
+    return path
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Executions that end within this leave no shuffle files behind: what they have written takes their place."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def spool(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage, so a lost executor costs no more than a reread.
+    Cuts the lineage, so a lost executor costs no more than a reread. The files stay until ``discard``, or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{tag}"
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
+
+
+def discard(*spools: DataFrame) -> None:
+    """Delete what ``spool`` wrote, once all that is made from it has been written itself."""
+    for df in spools:
+        fs, at = _file_system(df.sparkSession, df.spooled.rpartition("/")[0])
+        fs.delete(at, True)
+
+
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """``names`` with as many underscores behind them as it takes until none of them is among ``columns``, in any case."""
+    taken, more = {c.lower() for c in columns}, ""
+    while any((n + more).lower() in taken for n in names):
+        more += "_"
+    return [n + more for n in names]
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def range_spool(df: DataFrame, keys: Sequence[Column], tag: str, part: str = "__pid") -> DataFrame:
@@ -71,10 +126,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, to bound what is made of whole texts at a time. Spark bounds the batches' bytes."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
@@ -82,24 +138,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is
     two aggregations on node ids, edges never grow, and the number of rounds is
-    logarithmic in the longest path. Every round is spooled, so the lineage stays short.
-    Nodes without an edge are not returned.
+    logarithmic in the longest path. What a round joins is a table, so that joins can split the edges of a hot
+    node; every round is spooled, so the lineage stays short. Nodes without an edge are not returned.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = spool(e, f"{tag}_0")
-    last = None
-    for k in range(1, 64):
+    for k in range(1, 1000):
+        # done when each node points to one other that points to none
+        ends = e.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out + in > 1").isEmpty():
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = spool(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}_low{k}")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spool(large, f"{tag}_large{k}")
         # small star: each node points to smaller ones; they and the node meet at the smallest
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        lows = spool(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}_lows{k}")
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = spool(small, f"{tag}_{k}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-        e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")).join(e.select(F.col("u").alias("node")), "node", "left_anti")
-    )
+        before, e = e, spool(small, f"{tag}_{k}")
+        discard(before, low, large, lows)
+    else:
+        raise RuntimeError("The components' edges still change")
+    leads = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(leads.select("node", F.col("node").alias("component")))

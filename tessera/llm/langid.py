@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import fresh, slices
 
 #: Symbols: 0 for what is no letter, a-z, and 21 classes that all other letters fall into.
 SYMBOLS, DIM, SEED = 48, 1024, 20240607
 CODES = SYMBOLS**3
+#: Names of the columns that ``identify`` adds; underscores are put behind them while the input has one of the names.
+ADDED = ("__lang", "__score")
 
 
 def _symbol(c: int) -> int:
@@ -90,8 +92,6 @@ def bundles(grams: list[tuple[np.ndarray, np.ndarray]], block: int = 2048) -> np
 
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes from ``text``, ``lang``: unit vectors by language. There are as many as languages."""
-    small_batches(rows.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
 
@@ -101,7 +101,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n[code])], ["lang", "code", "n"])
             sums.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 code, n = trigrams(text)
                 if lang not in sums and len(sums) >= 64:
@@ -137,21 +137,19 @@ def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__lang``, ``__score`` added.
+    """All columns of ``docs``, and two more for language and score (0 to 1), named ``fresh(docs.columns, *ADDED)``.
 
     Only the text counts. A null text, or one without a letter, is ``und`` with score 0; so is every text
     if nothing was learned. Rows are judged one by one, so repeated rows, null ids and clashing names
     of other columns make no difference, and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # a vector per language
-    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a vector per language
+    at, added = docs.columns.index(text_col), fresh(docs.columns, *ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = predict(b.column(at).to_pylist(), *shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *added])
 
-    added = [StructField("__lang", StringType()), StructField("__score", DoubleType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    fields = [StructField(added[0], StringType()), StructField(added[1], DoubleType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))

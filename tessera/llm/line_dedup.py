@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import NULL_ID, range_spool, spool
+from tessera.llm.common import NULL_ID, discard, fresh, named, range_spool, spool
 
 #: The white space that a key is stripped of.
 SPACE = "\t\n\x0b\x0c\r "
+#: Names of the columns that ``line_dedup`` adds; underscores are put behind them while the input has one of the names.
+ADDED = ("__n_lines", "__n_dropped")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,6 +65,7 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_
     lines = spool(lines, "line_hashes")
     order = [F.asc("h"), F.desc("__d"), F.asc("pos"), F.asc("__t")]
     runs = range_spool(lines, order, "line_ranges")
+    discard(lines)
 
     stream = Window.partitionBy("__pid").orderBy(*order)
     opens = (F.lag("h").over(stream) != F.col("h")) | (F.lag("__d").over(stream) != F.col("__d"))
@@ -103,15 +106,17 @@ def kept_text(text: Column, bitmap: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, the text after dropping lines, ``n_lines`` and ``n_dropped`` as ``__n_lines``, ``__n_dropped``.
+    """``docs`` with all its columns, the text after dropping lines, and two more for the lines there were and those dropped, named ``fresh(docs.columns, *ADDED)``.
 
     Null text counts as one empty line and stays null. A null id is a document of its own that is
     below all others. Rows of one id are one document; equal rows get equal results. An empty table
     gives an empty result. Other columns are carried along whatever they are called.
     """
     bits = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs, id_col=id_col, text_col=text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__t": F.xxhash64(text)})
-    joined = keyed.join(bits.withColumnsRenamed({"keep_bitmap": "__bits", "n_dropped": "__n"}), ["__d", "__t"], "left")
-    out = [F.when(F.col(text_col).isNotNull(), kept_text(text, F.col("__bits"))).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.size(F.split(text, "\n")).cast("long").alias("__n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("__n_dropped"))
+    d, t, keep, n = fresh(docs.columns, "__d", "__t", "__bits", "__n")
+    n_lines, n_dropped = fresh(docs.columns, *ADDED)
+    text = F.coalesce(named(text_col), F.lit(""))
+    keyed = docs.withColumns({d: F.coalesce(named(id_col).cast("long"), F.lit(NULL_ID)), t: F.xxhash64(text)})
+    joined = keyed.join(bits.toDF(d, t, keep, n), [d, t], "left")
+    out = [F.when(named(text_col).isNotNull(), kept_text(text, F.col(keep))).alias(text_col) if c == text_col else named(c) for c in docs.columns]
+    return joined.select(*out, F.size(F.split(text, "\n")).cast("long").alias(n_lines), F.coalesce(n, F.lit(0)).cast("long").alias(n_dropped))

@@ -8,7 +8,7 @@ meets its successor in the stream and texts move once. Only the last document of
 range looks for its successor elsewhere: one join of a row per range.
 
 ``linked`` and ``classes`` find near copies: bands of lanes are joined, and pairs that meet in a band are verified by the Jaccard
-likeness of their texts' sets of shingles; ``alike`` does so for given pairs.
+likeness of their texts' sets of shingles; ``alike`` does so for given pairs. Shingles count as equal if the first 32 bits of their hashes are.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import NULL_ID, components, small_batches, spool
+from tessera.llm.common import NULL_ID, components, discard, slices, spool
 
 LANES, WIDTH, SEED = 64, 5, 7
 #: Bands of fingerprints: two texts alike by 0.8 share one of 16 bands of 4 lanes with a probability of 0.9998.
 BANDS = 16
 BLOCK = 512
-ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_hash long, set_hash long"
 
 
 @lru_cache(4)
@@ -85,11 +85,29 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the way through the shuffle."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["doc_id", "text", "t"])
+def distinct_shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    return np.unique(shingles(text, width))
+
+
+def set_hash(x: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles, given in order."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(x.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """The text as compressed bytes, for the way through a shuffle; the other columns as they are."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in slices(batches):
+            packed = pa.array([pack(t.encode()) for t in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"{c} {'binary' if c == text else t}" for c, t in df.dtypes))
 
 
 def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
@@ -101,54 +119,47 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in ddl.split(", "))])
 
 
-def _against(text: str, sig: np.ndarray, following: str, next_sig: np.ndarray, lanes: int, width: int) -> tuple:
-    edited = edit(text, following)
-    e = signature(shingles(edited, width), lanes)
-    return hashlib.sha256(edited.encode()).hexdigest(), e.tobytes(), likeness(sig, e), likeness(sig, next_sig)
-
-
 def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the columns of ``ROW``; the next document is that of the next id, the first after the last.
 
     Null texts are empty. Null ids come first; rows of one id follow each other by their texts' hash, equal rows
     in any order. A table of one document has itself as next; an empty one gives an empty result. Texts
-    without a word have one fingerprint of their own. Other columns don't matter.
+    without a word have one fingerprint of their own. Other columns don't matter. ``set_hash`` tells apart the texts' sets of shingles.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     edge = "pid int, head string, tail string"
     names = [f.split()[0] for f in f"{ROW}, {edge}".split(", ")]
     schema = _arrow(f"{ROW}, {edge}")
+    n_row = len(ROW.split(", "))
+
+    def against(text: str, sig: np.ndarray, following: str, next_sig: np.ndarray) -> tuple:
+        edited = edit(text, following)
+        e = signature(distinct_shingles(edited, width), lanes)
+        return hashlib.sha256(edited.encode()).hexdigest(), sig.tobytes(), e.tobytes(), likeness(sig, e), likeness(sig, next_sig)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = head = None
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for doc_id, packed, pid in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, packed, t, pid in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 text = unpack(packed).decode()
-                sig = signature(shingles(text, width), lanes)
+                x = distinct_shingles(text, width)
+                now = doc_id, text, signature(x, lanes), t, set_hash(x), pid
                 if held:
-                    i, t, s, p = held
-                    out.append((i, len(t), *_row(s, _against(t, s, text, sig, lanes, width)), p, head, None))
+                    out.append((held[0], len(held[1]), *against(held[1], held[2], text, now[2]), *held[3:], head, None))
                     head = None
                 else:
                     head = text
-                held = doc_id, text, sig, pid
+                held = now
             yield _batch(out, names, schema)
         if held:
-            i, t, s, p = held
-            yield _batch([(i, len(t), None, s.tobytes(), None, None, None, p, head, t)], names, schema)
-
-    def _row(s: np.ndarray, found: tuple) -> tuple:
-        sha, e, near_edited, near_next = found
-        return sha, s.tobytes(), e, near_edited, near_next
+            yield _batch([(held[0], len(held[1]), None, held[2].tobytes(), None, None, None, *held[3:], head, held[1])], names, schema)
 
     order = [F.asc_nulls_first("doc_id"), F.asc("t")]
     text = F.coalesce(docs[text_col], F.lit(""))
-    squeezed = docs.select(docs[id_col].cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("t")).mapInArrow(_squeeze, "doc_id long, text binary, t long")
-    dealt = squeezed.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = spool(dealt.select("doc_id", "text", F.spark_partition_id().alias("pid")).mapInArrow(stream, f"{ROW}, {edge}"), "minhash")
+    packed = squeezed(docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t")))
+    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = spool(dealt.select("doc_id", "text", "t", F.spark_partition_id().alias("pid")).mapInArrow(stream, f"{ROW}, {edge}"), "minhash")
 
     heads = rows.where("head is not null").select("pid", F.col("head").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     after = Window.orderBy("pid")  # a row per range
@@ -158,57 +169,59 @@ def fingerprint_pairs(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, n, text, sig, following, next_sig in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                s = np.frombuffer(sig, "<u2")
-                out.append((doc_id, n, *_row(s, _against(text, s, following, np.frombuffer(next_sig, "<u2"), lanes, width))))
-            yield _batch(out, names[:7], schema)
+            for doc_id, n, text, sig, following, next_sig, *keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append((doc_id, n, *against(text, np.frombuffer(sig, "<u2"), following, np.frombuffer(next_sig, "<u2")), *keys))
+            yield _batch(out, names[:n_row], schema)
+
+    closed = ends.select("doc_id", "n_chars", "tail", "fingerprint", "next_text", "next_fingerprint", "text_hash", "set_hash").mapInArrow(close, ROW)
+    return rows.where("tail is null").select(*names[:n_row]).union(closed)
+
 
-    closed = ends.select("doc_id", "n_chars", "tail", "fingerprint", "next_text", "next_fingerprint").mapInArrow(close, ROW)
-    return rows.where("tail is null").select(*names[:7]).union(closed)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def nodes(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH, also: Callable[[str], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id ``i`` (``NULL_ID`` for null), hashes of its text ``t`` and of its set of shingles ``node``, ``fingerprint``, and ``also`` of the text as ``fp``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            sets = [np.unique(shingles(t, width)) for t in texts]
-            node = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            prints = [signature(x, lanes).tobytes() for x in sets]
-            fps = [also(t) if also else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(prints, pa.binary()), pa.array(fps, pa.int64())], ["i", "t", "node", "fingerprint", "fp"])
+        for b in slices(batches):
+            found = []
+            for text in b.column(2).to_pylist():
+                x = distinct_shingles(text, width)
+                found.append((set_hash(x), signature(x, lanes).tobytes(), also(text) if also else 0))
+            node, prints, fps = ([f[k] for f in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(prints, pa.binary()), pa.array(fps, pa.int64())], ["i", "t", "node", "fingerprint", "fp"])
 
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return spool(rows.mapInArrow(run, "i long, t long, node long, fingerprint binary, fp long"), "near_nodes")
+    return spool(_keyed(docs, id_col, text_col).mapInArrow(run, "i long, t long, node long, fingerprint binary, fp long"), "near_nodes")
 
 
 def text_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """What gives the ``set`` of shingles of each ``node`` asked for, from one text that has it; ``rows`` are those of ``nodes(docs)``."""
+    """What gives the ``set`` of shingles of each ``node`` asked for, from one text that has it; ``rows`` has ``i``, ``t``, ``node`` of all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingles(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in slices(batches):
+            own = [np.unique((shingles(unpack(p).decode(), width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["node", "set"])
 
     def sets(asked: DataFrame) -> DataFrame:
         of = rows.join(asked, "node").groupBy("node").agg(F.min(F.struct("i", "t")).alias("x")).select("node", "x.*")
-        text = F.coalesce(docs[text_col], F.lit(""))
-        texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
-        found = texts.join(spool(of, "near_asked"), ["i", "t"]).select("node", "text").mapInArrow(run, "node long, set array<long>")
-        return spool(found.dropDuplicates(["node"]), "near_sets")
+        of = spool(of, "near_asked")
+        found = squeezed(_keyed(docs, id_col, text_col)).join(of, ["i", "t"]).select("node", "text").mapInArrow(run, "node long, set array<int>")
+        out = spool(found.dropDuplicates(["node"]), "near_sets")
+        discard(of)
+        return out
 
     return sets
 
 
-def band_posts(lanes: int = LANES, bands: int = BANDS) -> Column:
-    """The postings of a ``fingerprint``: one for each band."""
+def band_posts(entries: DataFrame, lanes: int = LANES, bands: int = BANDS) -> DataFrame:
+    """``node``, ``fingerprint`` -> a posting for each band: ``node``, ``fixed``, ``value``."""
     size = 2 * lanes // bands
-    return F.array(*[F.struct(F.lit(i).cast("long").alias("fixed"), F.xxhash64(F.substring("fingerprint", size * i + 1, size)).alias("value")) for i in range(bands)])
+    posts = [F.struct(F.lit(i).cast("long").alias("fixed"), F.xxhash64(F.substring("fingerprint", size * i + 1, size)).alias("value")) for i in range(bands)]
+    return entries.select("node", F.inline(F.array(*posts)))
 
 
 def _within(least: float) -> Callable[[pa.Table], pa.Table]:
@@ -216,7 +229,7 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
 
     def run(block: pa.Table) -> pa.Table:
         node, c = block["node"].to_numpy(), block["c"].to_numpy()
-        sets = [np.array(x, np.int64) for x in block["set"].to_pylist()]
+        sets = [np.array(x, np.int32) for x in block["set"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
@@ -244,11 +257,27 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def linked(entries: DataFrame, posts: Column, sets: Callable[[DataFrame], DataFrame], *, least: float, known: DataFrame | None = None, pair_up: int = 64, tag: str = "near") -> DataFrame:
+def _plausible(pairs: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a``, ``b`` whose share of equal lanes is not over four standard deviations below ``least``, as it is with 1 in 30,000 pairs alike by that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, -1) for k in (2, 3))
+                n = x.shape[1]
+                keep = (x == y).mean(1) >= least - 4 * (least * (1 - least) / n) ** 0.5
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    x, y = (entries.select(F.col("node").alias(i), F.col("fingerprint").alias(f)) for i, f in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], *, least: float, known: DataFrame | None = None, pair_up: int = 128, tag: str = "near") -> DataFrame:
     """``node``, ``component``: the components of all pairs of nodes that share a posting and whose sets have a Jaccard likeness of ``least``.
 
-    ``entries`` have a ``node`` each, ``posts`` gives their postings (``fixed``, ``value``), ``sets`` the ``set`` of the nodes asked for;
-    ``known`` are components found before. Pairs within a component need no check. Each node is first compared with the least and the
+    ``entries`` has a row with the MinHash ``fingerprint`` of each ``node``, ``posts`` the nodes' postings (``fixed``, ``value``), ``sets`` gives the ``set``
+    of the nodes asked for; ``known`` are components found before. Pairs within a component need no check, and pairs whose
+    lanes differ too much for ``least`` (``_plausible``) get none. Each node is first compared with the least and the
     greatest of its postings. Where a posting still holds several components after that, all its pairs of different components are verified:
     one by one, or if it has over ``pair_up`` nodes in pairs of blocks, a task each, that give a link per two components and no more.
     """
@@ -258,60 +287,68 @@ def linked(entries: DataFrame, posts: Column, sets: Callable[[DataFrame], DataFr
         return rows.withColumn("c", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
     def several(rows: DataFrame, more_than: int, name: str) -> DataFrame:
-        of = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        """Postings with more nodes than that, of several components; their first and last nodes, with their components."""
+        own = F.struct("node", "c")
+        of = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(own).alias("first"), F.max(own).alias("last"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         of = spool(of.where((F.col("n") > more_than) & (F.col("lo") != F.col("hi"))).drop("lo", "hi"), f"{tag}_sizes{name}")
-        return spool(rows.join(of, key), f"{tag}_posts{name}")
+        out = spool(rows.join(of, key), f"{tag}_posts{name}")
+        discard(of)
+        return out
 
-    post = marked(entries, known).select("node", "c", F.explode(posts).alias("p")).select("node", "c", "p.*").distinct()
-    post = several(post, 1, "")
-    own = sets(post.select("node").distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
         x, y = (own.select(F.col("node").alias(i), F.col("set").alias(s)) for i, s in (("a", "s"), ("b", "t")))
         common = F.size(F.array_intersect("s", "t"))
         return pairs.join(x, "a").join(y, "b").where(common >= least * (F.size("s") + F.size("t") - common)).select("a", "b")
 
-    ends = F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b"))))
-    tried = spool(post.select(ends.alias("p")).select("p.*").where("a < b").distinct(), f"{tag}_tried")
-    links = spool(verified(tried), f"{tag}_links")
-    before = links if known is None else links.union(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    found = components(before, tag=f"{tag}_cc")
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+    none = entries.select("node", F.col("node").alias("component")).limit(0)
+    post = several(marked(posts, known), 1, "")
+    pair = lambda a, b: F.struct(F.least(a["node"], b["node"]).alias("a"), F.greatest(a["node"], b["node"]).alias("b"), (a["c"] != b["c"]).alias("new"))
+    node = F.struct("node", "c")
+    ends = post.select(F.inline(F.array(pair(F.col("first"), node), pair(node, F.col("last"))))).where("new").select("a", "b").distinct()
+    tried = spool(_plausible(ends, entries, least), f"{tag}_tried")
+    found = none if known is None else known
+    if not tried.isEmpty():
+        own = sets(both(tried).distinct())
+        links = spool(verified(tried, own), f"{tag}_links")
+        discard(own)
+        found = components(links.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_cc")
 
     rest = several(marked(post.select("node", *key), found), 3, "_rest")
+    discard(post)
+    if rest.isEmpty():
+        return found
     few, many = rest.where(F.col("n") <= pair_up), rest.where(F.col("n") > pair_up)
     x, y = (few.select(*key, F.col("node").alias(i), F.col("c").alias(c)) for i, c in (("a", "c"), ("b", "d")))
-    more = verified(x.join(y, key).where("a < b and c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = x.join(y, key).where("a < b and c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = spool(_plausible(pairs, entries, least), f"{tag}_pairs")
+    own = sets(both(pairs).union(many.select("node")).distinct())
     blocks = F.ceil(F.col("n") / pair_up).cast("long")
     mine = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = mine.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "c").join(own, "node")
-    more = spool(more.union(dealt.groupBy(*key, "x", "y").applyInArrow(_within(least), "a long, b long")), f"{tag}_more")
+    more = spool(verified(pairs, own).union(dealt.groupBy(*key, "x", "y").applyInArrow(_within(least), "a long, b long")), f"{tag}_more")
+    discard(rest, own, pairs)
     if more.isEmpty():
         return found
     return components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_all")
 
 
-def classes(rows: DataFrame, docs: DataFrame | None = None, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, width: int = WIDTH, pair_up: int = 64) -> DataFrame:
-    """``rows`` (``doc_id``, ``fingerprint``, ...) with ``class_id``: the smallest id reached by links between texts that share a band and are alike by ``least``.
+def classes(rows: DataFrame, docs: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, width: int = WIDTH, pair_up: int = 128) -> DataFrame:
+    """``rows`` of ``fingerprint_pairs(docs)`` with ``class_id``: the smallest id reached by links between texts that share a band and are alike by ``least``.
 
-    Links are verified by the Jaccard likeness of the sets of shingles of the texts in ``docs``, whose fingerprints ``rows`` are. Without ``docs``
-    the share of equal lanes stands for it, an estimate. Equal sets are one entry. A null id is smaller than all others. An
-    empty table gives an empty result.
+    Links are verified by the Jaccard likeness of the sets of shingles of the texts in ``docs``. Equal sets are one entry. Each row has a class by its own
+    text, whatever others have its id. A null id is smaller than all others. An empty table gives an empty result.
     """
-    i = F.coalesce("doc_id", F.lit(NULL_ID)).alias("i")
-    if docs is None:
-        of = spool(rows.select(i, "fingerprint").distinct().withColumn("node", F.xxhash64("fingerprint")), "near_nodes")
-        lane = [F.conv(F.hex(F.substring("fingerprint", 2 * k + 1, 2)), 16, 10).cast("long") + (k << 16) for k in range(lanes)]
-        sets = lambda asked: of.dropDuplicates(["node"]).join(asked, "node").select("node", F.array(*lane).alias("set"))
-        least /= 2 - least  # what two sets with that share of equal lanes have in common
-    else:
-        of = nodes(docs, lanes=lanes, width=width)
-        sets = text_sets(docs, of, width)
-    found = linked(of.select("node", "fingerprint").distinct(), band_posts(lanes, bands), sets, least=least, pair_up=pair_up, tag="minhash")
-    known = of.join(found, "node", "left").select("i", "fingerprint", F.coalesce("component", "node").alias("c")).distinct()
-    lead = spool(known.groupBy("c").agg(F.min("i").alias("lead")), "minhash_leads")
-    known = spool(known.join(lead, "c").groupBy("i", "fingerprint").agg(F.min("lead").alias("__c")), "minhash_known")
-    joined = rows.withColumn("i", i).join(known, ["i", "fingerprint"])
-    return joined.select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))
+    of = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), F.col("text_hash").alias("t"), F.col("set_hash").alias("node"), "fingerprint")
+    entries = spool(of.select("node", "fingerprint").distinct(), "minhash_entries")
+    found = linked(entries, band_posts(entries, lanes, bands), text_sets(docs, of, width), least=least, pair_up=pair_up, tag="minhash")
+    own = of.groupBy("node").agg(F.min("i").alias("i")).join(found, "node", "left").select("node", "i", F.coalesce("component", "node").alias("c"))
+    own = spool(own, "minhash_own")
+    lead = spool(own.groupBy("c").agg(F.min("i").alias("__c")), "minhash_leads")
+    known = spool(own.join(lead, "c").select(F.col("node").alias("set_hash"), "__c"), "minhash_known")
+    return rows.join(known, "set_hash").select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))
 
 
 def alike(docs: DataFrame, pairs: DataFrame, least: float = 0.8, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,8 +358,8 @@ def alike(docs: DataFrame, pairs: DataFrame, least: float = 0.8, width: int = WI
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingles(t or "", width)).view(np.int64) for t in b.column(1).to_pylist()]
+        for b in slices(batches):
+            own = [distinct_shingles(t or "", width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["i", "s"])
 
     asked = spool(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "alike_asked")

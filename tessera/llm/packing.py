@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -97,7 +97,6 @@ def pack(
     themselves. Texts of any length are cut into pieces. An empty table gives an empty result.
     Other columns don't matter. Sequence ids are unique in the table; the partition is in the upper bits.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, json_path)
@@ -122,7 +121,7 @@ def pack(
             tokens.clear()
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 tokens.append(np.array([*(encode(text) if text else ()), end_id], "<u4"))

@@ -71,7 +71,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = classes(fingerprint_pairs(docs), docs)
+    found = classes(fingerprint_pairs(docs), docs).drop("text_hash", "set_hash")
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 

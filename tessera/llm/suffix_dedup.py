@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, small_batches, spool
+from tessera.llm.common import discard, scratch_dir, slices, spool
 
 Q = 40
 #: Sizes of the blocks of windows at each level after the first.
@@ -135,7 +135,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     names = ["h", "a", "hi", "lo", "u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols: list[list[np.ndarray]] = [[] for _ in names]
             for raw in b.column(1).to_pylist():
                 p0, p1, a, ids = runs(np.frombuffer(raw, np.uint8), length)
@@ -153,7 +153,7 @@ def _nodes(texts: DataFrame, asked: DataFrame, length: int, block: int) -> DataF
     names = ["h", "k", "hi", "lo", "u", "c", "a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols: list[list[np.ndarray]] = [[] for _ in names]
             for raw, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ids = bucket_ids(np.frombuffer(raw, np.uint8))
@@ -197,14 +197,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     if length < 2 * Q:
         raise ValueError(f"length must be at least {2 * Q}")
     spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text")).withColumn("doc", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tessera_{uuid.uuid4().hex}"
     # texts move once; bucketed, later joins find them in place
     distinct = keyed.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    distinct.write.bucketBy(parts, "doc").sortBy("doc").option("path", f"{shared_dir(spark)}/tessera/{name}").option("compression", "zstd").saveAsTable(name)
+    distinct.write.bucketBy(parts, "doc").sortBy("doc").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
 
     found = spool(_anchors(texts.select("doc", "text").where(F.length("text") >= length), length), "suffix_anchors")
@@ -224,7 +223,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     schema = "doc binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for raw, copies, found in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 edge = np.zeros(len(raw) + 1, np.int32)

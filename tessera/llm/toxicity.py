@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import small_batches, spool
+from tessera.llm.common import discard, fresh, slices, spool
 
 BUCKETS, DIM, FILTERS, WIDTHS, SEED = 1 << 18, 12, 8, (1, 2, 3), 11
 PREFIXES = (3, 4, 5)
@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_LANGS = 64
 #: The score at which a text counts as toxic.
 CUT = 0.3
+#: Name of the column that ``score`` adds; underscores are put behind it while the input has it.
+ADDED = "__score"
 
 
 class Features(dict):
@@ -218,36 +220,45 @@ def _threshold(z: np.ndarray, y: np.ndarray, default: float) -> float:
     return float((low + high) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
-    """Fit on at most ``max_rows`` labelled rows, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
+    """Fit on at most ``max_rows`` labelled documents, those with the smallest hashes of their ids, of at most ``max_bytes`` of text altogether.
 
-    Rows without id or label are left out, a null language is one of its own, repeated labels count as often as they occur.
+    Rows without id or label are left out. A null language is one of its own. An id has one label (the greatest of several) and one text (the
+    one with the smallest hash), so repeated rows change nothing. Documents are taken in the order of the hashes while they fit.
     """
-    small_batches(docs.sparkSession)
     y = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
-    pick = spool(y.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows), "toxic_pick")  # ids only, before any text is read
-    found = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
-    rows = found.join(F.broadcast(pick), "i").collect()  # max_rows ids at most
-    return fit([(r.t, r.y, r.l) for r in sorted(rows, key=lambda r: (r.i, r.t, r.y))])
+    y = y.groupBy("i").agg(F.max("y").alias("y"))
+    pick = spool(y.orderBy(F.xxhash64("i"), "i").limit(max_rows), "toxic_pick")  # ids only, before any text is read
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
+    # places of the texts first: their sizes say which fit
+    known = found.select("i", "l", F.xxhash64("t").alias("h"), F.octet_length("t").alias("n")).join(F.broadcast(pick), "i")  # max_rows ids at most
+    own = known.groupBy("i", "y").agg(F.min(F.struct("h", "n", "l")).alias("x")).select("i", "y", "x.*")
+    chosen, room = [], max_bytes
+    for r in sorted(own.collect(), key=lambda r: (r.h, r.i)):  # max_rows rows of numbers
+        if r.n <= room:
+            chosen.append(r)
+            room -= r.n
+    ids = docs.sparkSession.createDataFrame([(r.i, r.h) for r in chosen], "i long, h long")
+    texts = found.join(F.broadcast(ids), (found.i == ids.i) & (F.xxhash64("t") == ids.h)).select(found.i, "t").groupBy("i").agg(F.min("t").alias("t")).collect()  # max_bytes at most
+    by = {r.i: r.t for r in texts}
+    discard(pick)
+    return fit([(by[r.i], r.y, r.l) for r in sorted(chosen, key=lambda r: r.i) if r.i in by])
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__score`` added.
+    """All columns of ``docs`` and the score, in a column named ``fresh(docs.columns, ADDED)``.
 
     Null and empty texts, and texts without a letter, get the score of no words. Rows are judged one by one, so
     repeated rows, null ids and clashing names of other columns make no difference; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows whatever the corpus
-    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows whatever the corpus
+    at, (added,) = docs.columns.index(text_col), fresh(docs.columns, ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, m = Features(), shared.value
-        for b in batches:
-            texts, found = b.column(at).to_pylist(), []
-            for k in range(0, len(texts), 128):
-                found.append(scores(m, *_number([words_of(t) for t in texts[k : k + 128]], known)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*b.schema.names, "__score"])
+        for b in slices(batches, 128):
+            found = scores(m, *_number([words_of(t) for t in b.column(at).to_pylist()], known))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(added, DoubleType())]))

@@ -68,7 +68,7 @@ def empty(docs):
 def test_empty_tables(spark, empty):
     model = langid.train(empty.where("lang is not null"))
     assert model[0] == [] and langid.identify(empty, model).count() == 0
-    for df in (remove_repeats(empty), near_duplicates(empty), near_duplicates(empty, free_bytes=4, alike=0.8), shard_by_bytes(empty), pack(empty), mix(empty), line_dedup(empty), fingerprint_pairs(empty), search(empty, F.lit(True))):
+    for df in (remove_repeats(empty), near_duplicates(empty), near_duplicates(empty, alike=0.8), shard_by_bytes(empty), pack(empty), mix(empty), line_dedup(empty), fingerprint_pairs(empty), search(empty, F.lit(True))):
         assert df.count() == 0
     m = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(empty, m).count() == 0
@@ -164,20 +164,20 @@ def test_near_duplicates(docs, rows):
 
 
 def test_near_duplicates_alike(docs):
-    found = {r.doc_id: r.component_id for r in near_duplicates(docs, free_bytes=4, alike=0.8).collect()}
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs, alike=0.8).collect()}
     assert {found[60 + k] for k in range(12)} == {60} and found[11] == found[12] == 11 and found[34] == 34
 
 
-@pytest.mark.parametrize("bits, free", [(2, None), (3, None), (2, 4)])
+@pytest.mark.parametrize("bits", [2, 3])
 @pytest.mark.parametrize("pair_up", [512, 6, 1])
-def test_candidates_are_complete(spark, bits, free, pair_up):
+def test_candidates_are_complete(spark, bits, pair_up):
     r = np.random.default_rng(bits)
     centres = r.integers(0, 2**64, 6, dtype=np.uint64)
     flips = [np.uint64(1) << r.integers(0, 64, 120, dtype=np.uint64) for _ in range(3)]
     f = np.unique(np.concatenate([centres, *(np.repeat(centres, 20) ^ flips[0] ^ flips[1], np.repeat(centres, 20) ^ flips[2])]))
     want = {frozenset((int(a), int(b))) for a in f for b in f if a < b and int(a ^ b).bit_count() <= bits}
     df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
-    got = [(x.f % 2**64, x.g % 2**64) for x in candidates(df, max_bits=bits, free_bytes=free, pair_up=pair_up).collect()]
+    got = [(x.f % 2**64, x.g % 2**64) for x in candidates(df, max_bits=bits, pair_up=pair_up).collect()]
     assert len(got) == len(set(map(frozenset, got))) and {frozenset(p) for p in got if (p[0] ^ p[1]).bit_count() <= bits} == want
 
 
@@ -453,7 +453,7 @@ def test_classes(spark, pair_up):
             data.append((100 * k + j, " ".join(near)))
     data += [(9000 + k, None) for k in range(3)] + [(None, prose(1, 99)), (None, prose(2, 99))]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    found = classes(fingerprint_pairs(df), pair_up=pair_up).collect()
+    found = classes(fingerprint_pairs(df), df, pair_up=pair_up).collect()
     assert len(found) == len(data) and all(x.class_id == (None if x.doc_id is None else 9000 if x.doc_id >= 9000 else x.doc_id // 100 * 100) for x in found)
     pairs = spark.createDataFrame([(a, b) for a in range(10) for b in [*range(a + 1, 10), 100]] + [(0, 77)], "a long, b long")
     sets = {i: set(shingles(t).tolist()) for i, t in data if t}
@@ -463,7 +463,7 @@ def test_classes(spark, pair_up):
 
 
 def test_classes_of_nothing(empty):
-    assert classes(fingerprint_pairs(empty)).count() == 0
+    assert classes(fingerprint_pairs(empty), empty).count() == 0
 
 
 # search

@@ -55,7 +55,7 @@ def test_isolated_pairs_near_the_threshold(spark):
         s, t = " ".join(text), " ".join(changed(text, max(1, len(text) // 55), r))
         if 0.8 <= jaccard(s, t) <= 0.9:
             data += [(len(data), s), (len(data) + 1, t)]
-    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), free_bytes=4, alike=0.8).collect()
+    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), alike=0.8).collect()
     assert all(x.component_id == x.doc_id // 2 * 2 for x in found)
 
 
@@ -64,19 +64,24 @@ def test_equal_fingerprints_of_unlike_texts(spark):
     data = [(k, " ".join(words(r, 120) + ["na"] * 200)) for k in range(3)]
     data.append((3, data[1][1]))
     assert len({fingerprint(t) for _, t in data}) == 1
-    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), free_bytes=4, alike=0.8).collect()
+    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), alike=0.8).collect()
     assert {x.doc_id: x.component_id for x in found} == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
-@pytest.mark.parametrize("pair_up", [6, 1])
-def test_candidates_share_bytes(spark, pair_up):
+@pytest.mark.parametrize("bits", [1, 2])
+@pytest.mark.parametrize("pair_up", [512, 5])
+def test_tallies(spark, bits, pair_up):
+    """Pairs with enough bytes in common are told from those whose bits are too many, in postings with all their first bytes alike."""
     r = np.random.default_rng(6)
-    f = np.unique(r.integers(0, 2**64, 1, dtype=np.uint64) ^ (r.integers(0, 2**32, 60, dtype=np.uint64) << np.uint64(16)))
-    f = np.unique(np.concatenate([f, f ^ np.uint64(0xFF00000000000000)]))
-    share = lambda a, b: sum(x == y for x, y in zip(int(a).to_bytes(8), int(b).to_bytes(8), strict=True)) >= 4
-    want = {frozenset((int(a), int(b))) for a in f for b in f if a < b and share(a, b)}
-    found = candidates(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), free_bytes=4, pair_up=pair_up).collect()
-    assert len(found) == len(want) and {frozenset((x.f % 2**64, x.g % 2**64)) for x in found} == want
+    low = r.integers(0, 2**16, 200, dtype=np.uint64)
+    f = np.unique(np.concatenate([low << np.uint64(48), (low << np.uint64(48)) ^ np.uint64(0x0101), low | np.uint64(7 << 60)]))
+    want = {}
+    for a in map(int, f):
+        for b in map(int, f):
+            if a != b and (a ^ b).bit_count() <= bits:
+                want[frozenset((a, b))] = sum(x == y for x, y in zip(a.to_bytes(8), b.to_bytes(8), strict=True))
+    found = candidates(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), max_bits=bits, pair_up=pair_up).collect()
+    assert len(found) == len(want) and {frozenset((x.f % 2**64, x.g % 2**64)): x.equal_bytes for x in found} == want
 
 
 @pytest.mark.parametrize("pair_up", [64, 1])
@@ -86,7 +91,7 @@ def test_groups_like_chains(spark, pair_up):
     assert set(want.values()) == {0, 99}
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert {x.doc_id: x.class_id for x in classes(fingerprint_pairs(df), df, pair_up=pair_up).collect()} == want
-    assert {x.doc_id: x.component_id for x in near_duplicates(df, free_bytes=4, alike=0.8, pair_up=pair_up).collect()} == want
+    assert {x.doc_id: x.component_id for x in near_duplicates(df, alike=0.8, pair_up=pair_up).collect()} == want
 
 
 def test_classes_by_the_texts_likeness(spark):
