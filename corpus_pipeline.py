@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import langid
-from tessera.llm.common import NULL_ID, documents, spool
-from tessera.llm.line_dedup import line_dedup
+from tessera.llm.common import NULL_ID, documents, fresh, named, spool
+from tessera.llm.line_dedup import ADDED, line_dedup
 from tessera.llm.mixing import mix, word_count
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
@@ -31,38 +31,42 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(docs.where("lang is not null"))
     if not model[0]:
         return docs
-    found = langid.identify(docs, model).where(F.col("__lang") != "und")
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, _ = fresh(docs.columns, *langid.ADDED)
+    found = langid.identify(docs, model).where(F.col(lang) != "und")
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*map(named, docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines held by many documents stay in one of them; ``n_chars`` follows. A document that loses all its lines stays, empty."""
+    _, dropped = fresh(docs.columns, *ADDED)
     out = line_dedup(docs)
-    n = F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).select(*[F.col(f"`{c}`") for c in docs.columns])
+    n = F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n).select(*map(named, docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies the document with the smallest id stays (a null id is smaller than others; of several texts under that id, one).
 
-    Candidates come from the SimHash index: all pairs within 2 bits, and pairs further apart that share 4 bytes. They are
-    copies if their sets of five-word shingles are alike by 0.8 or more. Rows of one id are one document, of which one row stays; so are those with a null id.
+    Candidates come from the SimHash index and from bands of MinHash lanes; they are
+    copies if their sets of five-word shingles are alike by 0.8 or more. Rows are told apart by id and text: rows of one id, or without one, that
+    have unlike texts all stay, and of rows equal in both, one.
     """
-    classes = near_duplicates(docs, width=3, max_bits=2, free_bytes=4, alike=0.8, alike_width=5)
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
-    return docs.withColumn("__k", key).join(stay, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")
+    k, t = fresh(docs.columns, "__k", "__t")
+    stay = near_duplicates(docs, width=3, max_bits=2, alike=0.8, alike_width=5).where("leads")
+    stay = stay.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(k), F.col("text_hash").alias(t)).distinct()
+    keyed = docs.withColumns({k: F.coalesce("doc_id", F.lit(NULL_ID)), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(stay, [k, t], "left_semi").dropDuplicates([k, t]).drop(k, t)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice. Texts without a word are not taken."""
+    k, s, n, rows_of, times, copy = fresh(docs.columns, "__k", "__s", "__n", "__rows", "__times", "__copy")
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    id_key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("__k")
-    takes = mix(docs).select(id_key, F.col("size").alias("__s"), copies.alias("n")).groupBy("__k", "__s").agg(F.sum("n").alias("__n"), F.count("*").alias("__rows"))
-    rows = docs.withColumns({"__k": F.coalesce("doc_id", F.lit(NULL_ID)), "__s": word_count(F.col("text"))}).join(takes.where("__n > 0"), ["__k", "__s"])
-    nth = F.row_number().over(Window.partitionBy("__k", "__s").orderBy("__s"))  # rows of one id share its copies
-    times = (F.floor(F.col("__n") / F.col("__rows")) + (nth <= F.col("__n") % F.col("__rows")).cast("long")).cast("int")
-    return rows.withColumn("__times", times).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")).drop("__copy")
+    takes = mix(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(k), F.col("size").alias(s), copies.alias(n)).groupBy(k, s).agg(F.sum(n).alias(n), F.count("*").alias(rows_of))
+    rows = docs.withColumns({k: F.coalesce("doc_id", F.lit(NULL_ID)), s: word_count(F.col("text"))}).join(takes.where(F.col(n) > 0), [k, s])
+    nth = F.row_number().over(Window.partitionBy(k, s).orderBy(s))  # rows of one id share its copies
+    each = (F.floor(F.col(n) / F.col(rows_of)) + (nth <= F.col(n) % F.col(rows_of)).cast("long")).cast("int")
+    return rows.withColumn(times, each).select(*map(named, docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(copy)).drop(copy)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
