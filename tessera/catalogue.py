@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,13 @@ from pyspark.sql import functions as F
 
 from tessera import operators as R
 from tessera.engine import Engine
+from tessera.errors import EngineError
 from tessera.functions import avg_truncated, compare, int_divide, int_modulo, negate
-from tessera.plans.statistics import table_statistics
+from tessera.plans import CostModel, selectivity, table_statistics
+from tessera.shell import split_statements
+from tessera.sources import KeyIndex
+from tessera.sources.files import Store
+from tessera.sql import parse_expression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,20 +253,23 @@ _register(_values, "values", "select * from (values (1, 'hello'), (2, 'world'))
 _register(_col_stats, "col_stats", "select count(*) as n, count(distinct p_size) as d, count(*) filter (p_size is null) as z, min(p_size) as lo, max(p_size) as hi from part")
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
-    """An engine over the test tables, with its own tables in a folder to be removed: a shared one, where the session names it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = tempfile.mkdtemp(prefix="tessera-engine-", dir=shared.removeprefix("file://") if shared else None)
-    e = Engine(spark, root)
+@contextmanager
+def _engine(spark: SparkSession, sf_dir: str) -> Iterator[Engine]:
+    """An engine over the test tables, with its own tables in a folder that is removed: a shared one, where the session names it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = Store(spark, f"{shared.rstrip('/')}/tessera-engine-{uuid.uuid4().hex}")
+    e = Engine(spark, root.root)
     for t in TABLES:
         e.register_parquet(t, f"{sf_dir}/{t}.parquet")
-    return e, root
+    try:
+        yield e
+    finally:
+        root.delete()
 
 
 def _sql(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, root = _engine(spark, sf_dir)
-    shutil.rmtree(root)
-    return e.query(text)
+    with _engine(spark, sf_dir) as e:
+        return e.query(text)
 
 
 #: The same by SQL text: the dialect's statement, and DuckDB's if it differs.
@@ -288,34 +297,28 @@ for _name, (_text, _oracle) in STATEMENTS.items():
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, root = _engine(spark, sf_dir)
-    try:
+    with _engine(spark, sf_dir) as e:
         e.execute("PREPARE big AS SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > ? AND o_orderstatus = ? ORDER BY o_orderkey LIMIT ?")
         r = e.execute("EXECUTE big(40 + 60, 'F', 20)")
-    finally:
-        shutil.rmtree(root)
     return R.values(spark, r.rows, "o_orderkey long, o_custkey long")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, insert, update (swapping two columns) and delete, then read."""
-    e, root = _engine(spark, sf_dir)
-    try:
+    with _engine(spark, sf_dir) as e:
         e.execute("CREATE TABLE t (k INTEGER, a INTEGER, b INTEGER)")
         e.insert_from("t", e.query("SELECT n_nationkey, n_regionkey, n_nationkey * 10 FROM nation"))
         e.execute("INSERT INTO t VALUES (100, 1, NULL), (101, NULL, 2)")
         e.execute("UPDATE t SET a = b, b = a WHERE k > 10 AND b < 5000")
         e.execute("DELETE FROM t WHERE k % 4 = 1")
         rows = e.execute("SELECT k, a, b FROM t").rows
-    finally:
-        shutil.rmtree(root)
     return R.values(spark, rows, "k int, a int, b int")
 
 
 def _explained(analyze: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, root = _engine(spark, sf_dir)
-    shutil.rmtree(root)
-    text = e.execute(f"EXPLAIN {analyze}SELECT c_mktsegment, COUNT(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment").message
+    """The whole text of EXPLAIN, whose last sections Spark words."""
+    with _engine(spark, sf_dir) as e:
+        text = e.execute(f"EXPLAIN {analyze}SELECT c_mktsegment, COUNT(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment").message
     return R.values(spark, [(i, line) for i, line in enumerate(text.splitlines())], "line int, plan string")
 
 
@@ -328,3 +331,135 @@ _register(
 )
 _register(partial(_explained, ""), "explain", None)
 _register(partial(_explained, "ANALYZE "), "explain_analyze", None)
+
+
+# what stands in no table: order, plans, estimates, transactions
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows of a short result with their places in it."""
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(df.collect())], f"place long, {', '.join(f'{c} {t}' for c, t in df.dtypes)}")
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = R.seq_scan(spark, f"{sf_dir}/nation.parquet")
+    return _numbered(R.project(R.order_by(nation, [(K("n_regionkey"), False), (K("n_name"), True)]), C("n_regionkey", "n_name")))
+
+
+def _ordered_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = R.project(R.seq_scan(spark, f"{sf_dir}/nation.parquet"), {"k": F.nullif(int_modulo(K("n_nationkey"), F.lit(4)), F.lit(0)), "n_name": K("n_name")})
+    return _numbered(R.order_by(nation, [(K("k"), True), (K("n_name"), False)]))
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = R.seq_scan(spark, f"{sf_dir}/orders.parquet")
+    return _numbered(R.project(R.top_k(orders, [(K("o_totalprice"), False), (K("o_orderkey"), True)], 20, 3), C("o_orderkey")))
+
+
+def _sql_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with _engine(spark, sf_dir) as e:
+        return _numbered(e.query("SELECT n_name FROM nation ORDER BY n_regionkey DESC, n_name OFFSET 6"))
+
+
+def _explain_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement's own operators."""
+    with _engine(spark, sf_dir) as e:
+        text = e.execute("EXPLAIN SELECT n_name, COUNT(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey > r_regionkey WHERE c_custkey < 99 GROUP BY n_name ORDER BY n_name LIMIT 3").message
+    lines = text.split("=== OPTIMIZED")[0].splitlines()[1:-1]
+    return R.values(spark, [(i, len(x) - len(x.lstrip(" ├└│─")), x.lstrip(" ├└│─")) for i, x in enumerate(lines)], "line int, depth int, node string")
+
+
+def _selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = table_statistics(R.seq_scan(spark, f"{sf_dir}/part.parquet", ["p_size"]))
+    asked = ["p_size = 7", "p_size != 7", "p_size < 26", "26 < p_size", "p_size >= 13 AND p_size < 26", "NOT (p_size = 7)", "p_size = 1 OR p_size = 2"]
+    return R.values(spark, [(x, round(selectivity(parse_expression(x), stats), 9)) for x in asked], "predicate string, share double")
+
+
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rows there are: the joins of two tables, and what a sort and a top-k of one take."""
+    m = CostModel()
+    nation, region = (m.seq_scan(table_statistics(R.seq_scan(spark, f"{sf_dir}/{t}.parquet"))) for t in ("nation", "region"))
+    rows = [("hash", m.hash_join(nation, region).cost), ("loop", m.nested_loop_join(nation, region).cost), ("filter", m.filter(nation).cost), ("sort", m.sort(nation).cost), ("top 8", m.top_k(nation, 8).cost), ("index", m.index_scan().cost)]
+    return R.values(spark, [(n, round(float(c), 6)) for n, c in rows], "operator string, cost double")
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = "VALUES ('a;b'); -- c;\nVALUES (1);;\n/* ; */ SELECT 2"
+    return R.values(spark, [(i, s.strip()) for i, s in enumerate(split_statements(script))], "i int, statement string")
+
+
+def _key_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key refused, keys removed one by one and by range, and the rest from a key down."""
+    with _engine(spark, sf_dir) as e:
+        e.execute("CREATE TABLE t (k INTEGER, name VARCHAR)")
+        e.insert_from("t", e.query("SELECT n_nationkey, n_name FROM nation"))
+        index = KeyIndex(e, "t")
+        index.insert((100, "new"))
+        try:
+            index.insert((5, "again"))
+        except EngineError:
+            index.insert((101, "refused"))
+        index.remove(7)
+        index.remove_between(12, 20)
+        return _numbered(R.values(spark, [tuple(r) for r in index.scan(low=3, descending=True).collect()], "k int, name string"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an older transaction, a changing one and others see, before and after its commit."""
+    with _engine(spark, sf_dir) as e:
+        e.execute("CREATE TABLE t (k INTEGER, v INTEGER)")
+        e.insert_from("t", e.query("SELECT n_nationkey, n_regionkey FROM nation"))
+        count = lambda txn=None: e.execute("SELECT COUNT(*), SUM(v) FROM t", txn).rows[0]
+        old, new = e.begin(), e.begin()
+        e.execute("DELETE FROM t WHERE k < 10", new)
+        e.execute("UPDATE t SET v = v + 100 WHERE k >= 20", new)
+        seen = [("old before", *count(old)), ("own", *count(new)), ("others before", *count())]
+        e.commit(new)
+        seen += [("old after", *count(old)), ("others after", *count())]
+    return R.values(spark, seen, "who string, n long, s long")
+
+
+_register(_ordered, "ordered", "select row_number() over (order by n_regionkey desc, n_name) - 1 as place, n_regionkey, n_name from nation")
+_register(
+    _ordered_nulls,
+    "ordered_nulls",
+    "with t as (select nullif(n_nationkey % 4, 0) as k, n_name from nation) select row_number() over (order by k nulls first, n_name desc) - 1 as place, k, n_name from t",
+)
+_register(_best, "best", "select row_number() over (order by o_totalprice desc, o_orderkey) - 4 as place, o_orderkey from orders qualify place between 0 and 19")
+_register(_sql_ordered, "sql_ordered", "select row_number() over (order by n_regionkey desc, n_name) - 7 as place, n_name from nation qualify place >= 0")
+_register(
+    _explain_joins,
+    "explain_joins",
+    """select cast(line as int) as line, cast(depth as int) as depth, node from (values
+    (0, 4, 'PROJECTION (n_name, expr1)'), (1, 8, 'TOP_K (3 offset 0)'), (2, 12, 'AGGREGATION (n_name, COUNT(*))'), (3, 16, 'FILTER ((c_custkey < 99))'),
+    (4, 20, 'NESTED_LOOP_JOIN (on: (n_regionkey > r_regionkey))'), (5, 24, 'HASH_JOIN (on: (c_nationkey = n_nationkey))'),
+    (6, 28, 'SEQ_SCAN (table: customer)'), (7, 28, 'SEQ_SCAN (table: nation)'), (8, 24, 'SEQ_SCAN (table: region)')) as v(line, depth, node)""",
+)
+_register(
+    _selectivity,
+    "selectivity",
+    """with s as (select count(distinct p_size)::double as d, min(p_size)::double as lo, max(p_size)::double as hi from part)
+    select unnest(['p_size = 7', 'p_size != 7', 'p_size < 26', '26 < p_size', 'p_size >= 13 AND p_size < 26', 'NOT (p_size = 7)', 'p_size = 1 OR p_size = 2']) as predicate,
+    unnest([round(1 / d, 9), round(1 - 1 / d, 9), round((26 - lo) / (hi - lo), 9), round(1 - (26 - lo) / (hi - lo), 9), round((1 - (13 - lo) / (hi - lo)) * ((26 - lo) / (hi - lo)), 9), round(1 - 1 / d, 9), round(1 / d + 1 / d - 1 / d * (1 / d), 9)]) as share from s""",
+)
+_register(
+    _costs,
+    "costs",
+    """with t as (select (select count(*) from nation)::double as n, (select count(*) from region)::double as r)
+    select unnest(['hash', 'loop', 'filter', 'sort', 'top 8', 'index']) as operator,
+    unnest([round(2 * (n + r), 6), round(n + r + n * r, 6), round(2 * n, 6), round(n + n * log2(n), 6), round(n + n * 3, 6), 100.0::double]) as cost from t""",
+)
+_register(_statements, "statements", "select cast(i as int) as i, statement from (values (0, 'VALUES (''a;b'');'), (1, '-- c;' || chr(10) || 'VALUES (1);'), (2, '/* ; */ SELECT 2')) as v(i, statement)")
+_register(
+    _key_index,
+    "key_index",
+    """with t as (select n_nationkey as k, n_name as name from nation where n_nationkey <> 7 and n_nationkey not between 12 and 20 union all values (100, 'new'), (101, 'refused'))
+    select row_number() over (order by k desc) - 1 as place, cast(k as int) as k, name from t where k >= 3""",
+)
+_register(
+    _snapshots,
+    "snapshots",
+    """with a as (select count(*) as n, cast(sum(n_regionkey) as bigint) as s from nation),
+    b as (select count(*) as n, cast(sum(n_regionkey + case when n_nationkey >= 20 then 100 else 0 end) as bigint) as s from nation where n_nationkey >= 10)
+    select 'old before' as who, n, s from a union all select 'own', n, s from b union all select 'others before', n, s from a union all select 'old after', n, s from a union all select 'others after', n, s from b""",
+)

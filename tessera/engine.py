@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import BindError, CatalogError, EngineError
 from tessera.functions import scalar as S
-from tessera.plans.explain import Explained, explain
+from tessera.plans.explain import explain
 from tessera.plans.statistics import TableStatistics, table_statistics
 from tessera.sources.catalog import Catalog, type_name
 from tessera.sql import nodes as N
@@ -59,8 +60,8 @@ class Engine:
         return self.catalog.table(name)
 
     def register_parquet(self, name: str, path: str) -> None:
-        """A read-only table of Parquet files."""
-        self.catalog.register(name, self.spark.read.parquet(path))
+        """A read-only table of Parquet files, opened when a statement first names it."""
+        self.catalog.register(name, lambda: self.spark.read.parquet(path))
 
     def statistics(self, name: str) -> TableStatistics:
         return table_statistics(self.table(name))
@@ -72,8 +73,15 @@ class Engine:
             raise BindError("Only SELECT and VALUES are queries")
         return self._query(s, self._binder(txn, arguments if arguments is not None else []))
 
+    def pages(self, text: str, size: int = 10_000, txn: Transaction | None = None) -> Iterator[list[tuple]]:
+        """The rows of a query in lists of ``size``, fetched as they are asked for; the driver holds no more than a partition's."""
+        rows = self.query(text, txn=txn).toLocalIterator(prefetchPartitions=True)
+        while page := [tuple(r) for r in itertools.islice(rows, size)]:
+            yield page
+
     def execute(self, text: str, txn: Transaction | None = None) -> Result:
-        """Run one statement. Without a transaction it is one of its own."""
+        """Run one statement. Without a transaction it is one of its own. A query's rows come as a whole, as far as Spark's
+        ``spark.driver.maxResultSize`` goes; ``query`` and ``pages`` are for larger ones."""
         return self._run(parse(text), txn)
 
     def try_execute(self, text: str) -> Result:
@@ -150,7 +158,7 @@ class Engine:
     def _change(self, s: N.Statement, txn: Transaction | None, arguments: list) -> int:
         own = txn or self.begin()
         try:
-            n = self._bind_change(s, self._binder(own, arguments), own)(own)
+            n = self._bind_change(s, self._binder(own, arguments), own)[0](own)
             if txn is None:
                 self.commit(own)
             return n
@@ -158,7 +166,8 @@ class Engine:
             if txn is None and own.state == "active":
                 self.abort(own)
 
-    def _bind_change(self, s: N.Statement, b: Binder, txn: Transaction | None) -> Callable[[Transaction], int]:
+    def _bind_change(self, s: N.Statement, b: Binder, txn: Transaction | None) -> tuple[Callable[[Transaction], int], Callable[[Transaction], DataFrame]]:
+        """What makes the change and counts its rows, and what gives the rows it would hit."""
         if s.table in self.catalog.external:
             raise BindError(f"Table is read-only: {s.table}")
         try:
@@ -167,8 +176,8 @@ class Engine:
             raise BindError(str(e)) from None
         columns = list(info.columns)
         if isinstance(s, N.Insert):
-            b.steps.append(("VALUES", f"rows: {len(s.source.rows)}"))
-            b.steps.append(("INSERT", f"table: {s.table}"))
+            b.step("VALUES", f"rows: {len(s.source.rows)}")
+            b.step("INSERT", f"table: {s.table}")
             rows = []
             for row in s.source.rows:
                 if len(row) != len(columns):
@@ -176,22 +185,23 @@ class Engine:
                 values = b.checked_row(row, columns, Scope([]), "INSERT")
                 rows.append(F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]))
             df = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
-            return lambda t: self.transactions.insert(t, s.table, df)
+            return lambda t: self.transactions.insert(t, s.table, df), lambda t: df
         scope = Scope([Field((s.table,), n, Bound(F.col(info.stored(i)), S.kind_of(f.dataType), type=t if t == "int" else None)) for i, ((n, t), f) in enumerate(zip(columns, info.schema.fields, strict=True))])
         where = None if s.where is None else b.predicate(s.where, scope, "WHERE")
-        b.steps.append(("SEQ_SCAN", f"table: {s.table}"))
+        hit = lambda t: self.transactions.hit(t, info, where)
+        b.step("SEQ_SCAN", f"table: {s.table}")
         if s.where is not None:
-            b.steps.append(("FILTER", str(s.where)))
+            b.step("FILTER", str(s.where))
         if isinstance(s, N.Delete):
-            b.steps.append(("DELETE", f"table: {s.table}"))
-            return lambda t: self.transactions.delete(t, s.table, where)
+            b.step("DELETE", f"table: {s.table}")
+            return lambda t: self.transactions.delete(t, s.table, where), hit
         places, sets = {n: i for i, (n, _) in enumerate(columns)}, []
         for name, e in s.sets:
             if name not in places:
                 raise BindError(f"Unknown column in SET clause: {name}")
             sets.append((info.stored(places[name]), b.checked_row([e], [columns[places[name]]], scope, "SET")[0]))
-        b.steps.append(("UPDATE", f"table: {s.table}"))
-        return lambda t: self.transactions.update(t, s.table, sets, where)
+        b.step("UPDATE", f"table: {s.table}")
+        return lambda t: self.transactions.update(t, s.table, sets, where), hit
 
     def insert_from(self, name: str, df: DataFrame, txn: Transaction | None = None) -> int:
         """Load a DataFrame, column by position."""
@@ -208,19 +218,28 @@ class Engine:
     # explain
 
     def _explain(self, e: N.Explain, txn: Transaction | None, arguments: list) -> Result:
-        s, n = e.statement, None
+        """ANALYZE runs a query for its figures; a change's rows are looked up for them, and then it is made."""
+        s = e.statement
         if isinstance(s, N.Execute):
             s, txn, arguments = self._prepared(s, txn)
-        b = self._binder(txn, arguments)
         if isinstance(s, (N.Select, N.Values)):
-            df = self._query(s, b)
+            b = self._binder(txn, arguments)
+            found = explain(self._query(s, b), b.steps, analyze=e.analyze)
         elif isinstance(s, (N.Insert, N.Update, N.Delete)):
-            self._bind_change(s, b, txn)
-            n = self._change(s, txn, arguments) if e.analyze else None
-            df = self.spark.range(1).select(F.lit(n if n is not None else 0).alias("count"))
+            own = txn or self.begin()
+            try:
+                b = self._binder(own, arguments)
+                change, hit = self._bind_change(s, b, own)
+                found = explain(hit(own), b.steps, analyze=e.analyze, change=b.steps[-1])
+                if e.analyze:
+                    found.changed(change(own))
+                    if txn is None:
+                        self.commit(own)
+            finally:
+                if txn is None and own.state == "active":
+                    self.abort(own)
         else:
             raise BindError("Only queries and changes can be explained")
-        found: Explained = explain(df, b.steps, analyze=e.analyze, changed=n)
         return Result(kind="explain", message=found.text(), columns=[("plan", "VARCHAR")], rows=[(found.text(),)])
 
 

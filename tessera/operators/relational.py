@@ -1,11 +1,12 @@
 """Relational operators from DataFrame to DataFrame.
 
 They declare what is asked for and leave order, pushdown, join choice and sharing to Catalyst and adaptive
-execution; no operator collects, repartitions or broadcasts on its own account.
+execution; no operator repartitions or broadcasts on its own account, and none but ``skip`` runs before it is asked for.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,10 +98,31 @@ def sort_partitions(df: DataFrame, keys: Sequence[tuple[Column, bool]]) -> DataF
 
 
 def limit(df: DataFrame, n: int | None = None, offset: int = 0) -> DataFrame:
+    """The first ``n`` rows after ``offset``. An offset without a limit moves no row to another task: see ``skip``."""
     if offset < 0 or n is not None and n < 0:
         raise ValueError("LIMIT and OFFSET must not be negative")
-    df = df.offset(offset) if offset else df
-    return df if n is None else df.limit(n)
+    if n is None:
+        return skip(df, offset) if offset else df
+    return (df.offset(offset) if offset else df).limit(n)
+
+
+def skip(df: DataFrame, offset: int) -> DataFrame:
+    """All rows but the first ``offset``, left in their partitions and in order.
+
+    The rows are written once, as a checkpoint, so that each has a place that stays; with the partitions' counts (two numbers each) it is
+    known which of them lose rows. This runs ``df`` when it is called.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():  # no spark.checkpoint.dir: one machine
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    part, place = (name + "_" * max(map(len, df.columns), default=0) for name in ("__part", "__place"))
+    numbered = df.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    rest = offset
+    for p, n in sorted(tuple(r) for r in numbered.groupBy(part).count().collect()):
+        if rest < n:
+            return numbered.where((F.col(part) > p) | ((F.col(part) == p) & (F.col(place) >= rest))).drop(part, place)
+        rest -= n
+    return numbered.limit(0).drop(part, place)
 
 
 def top_k(df: DataFrame, keys: Sequence[tuple[Column, bool]], k: int, offset: int = 0, tie: Sequence[str] = ()) -> DataFrame:

@@ -15,11 +15,15 @@ class Node:
     rows: int | None = None
     micros: int | None = None
 
+    def time(self) -> int:
+        """Microseconds that Spark's metrics have of the node and of all below it."""
+        return (self.micros or 0) + sum(c.time() for c in self.children)
+
     def text(self, prefix: str = "", last: bool = True) -> str:
         told = ""
         if self.rows is not None:
             rows_in = sum(c.rows or 0 for c in self.children)
-            told = f" (rows_in={rows_in}, rows_out={self.rows}, time={self.micros or 0}us)"
+            told = f" (rows_in={rows_in}, rows_out={self.rows}, time={self.time()}us)"
         lines = [f"{prefix}{'└── ' if last else '├── '}{self.name}{told}\n"]
         below = prefix + ("    " if last else "│   ")
         return "".join(lines + [c.text(below, c is self.children[-1]) for c in self.children])
@@ -27,15 +31,19 @@ class Node:
 
 @dataclass
 class Explained:
-    logical: str
-    optimized: str
-    physical: str
+    logical: Node
+    optimized: Node
+    physical: Node
     schema: str
     rules: list[str]
 
+    def changed(self, rows: int) -> None:
+        """The number of rows a change has hit, at the top of the plan that ran."""
+        self.physical.rows = rows
+
     def text(self) -> str:
         return (
-            f"=== LOGICAL PLAN ===\n{self.logical}\n=== OPTIMIZED LOGICAL PLAN ===\n{self.optimized}\n=== PHYSICAL PLAN ===\n{self.physical}\n"
+            f"=== LOGICAL PLAN ===\n{self.logical.text()}\n=== OPTIMIZED LOGICAL PLAN ===\n{self.optimized.text()}\n=== PHYSICAL PLAN ===\n{self.physical.text()}\n"
             f"=== OUTPUT SCHEMA ===\n{self.schema}\n\n=== OPTIMIZER RULES APPLIED ===\n" + "".join(f"{r}\n" for r in self.rules or ["(None)"])
         )
 
@@ -77,21 +85,24 @@ def _rules(execution) -> list[str]:
     return sorted(found)
 
 
-def explain(df: DataFrame, steps: list[tuple[str, str]], *, analyze: bool = False, changed: int | None = None) -> Explained:
-    """``steps``: the statement's operators, from the scan up. ``analyze`` runs the query and adds what each operator gave and took;
-    a change has run already and ``changed`` is its count."""
+def _operators(steps: list[tuple[str, str, str | None]]) -> Node:
+    """The statement's own operators; a join has what it joins as its second child."""
+    node: Node | None = None
+    for name, detail, joined in steps:
+        below = [node] if node else []
+        node = Node(f"{name} ({detail})" if detail else name, [*below, Node(f"SEQ_SCAN ({joined})")] if joined else below)
+    return node or Node("VALUES")
+
+
+def explain(df: DataFrame, steps: list[tuple[str, str, str | None]], *, analyze: bool = False, change: tuple[str, str, str | None] | None = None) -> Explained:
+    """``steps``: the statement's operators, from the scan up. ``analyze`` runs the query and adds what each operator gave and took.
+    With a ``change``, ``df`` has the rows it hits, and it stands on top of the plans."""
     execution = df._jdf.queryExecution()
     optimized = _logical(execution.optimizedPlan())
-    if analyze and changed is None:
+    if analyze:
         execution.toRdd().count()  # runs the plan and leaves its rows where they are
-    node: Node | None = None
-    for name, detail in steps:
-        node = Node(f"{name} ({detail})" if detail else name, [node] if node else [])
-    logical = node or Node("VALUES")
-    if steps and steps[-1][0] in ("INSERT", "UPDATE", "DELETE"):
-        if changed is not None:
-            logical.rows, logical.micros = changed, 0
-        tree = logical.text()
-        return Explained(tree, tree, tree, "Schema(count)", [])
     physical = _physical(execution.executedPlan(), analyze)
-    return Explained(logical.text(), optimized.text(), physical.text(), f"Schema({', '.join(df.columns)})", _rules(execution))
+    if change:
+        top = f"{change[0]} ({change[1]})"
+        optimized, physical = Node(top, [optimized]), Node(top, [physical])
+    return Explained(_operators(steps), optimized, physical, f"Schema({'count' if change else ', '.join(df.columns)})", _rules(execution))

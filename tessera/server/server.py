@@ -8,7 +8,7 @@ import socketserver
 import threading
 
 from tessera.engine import Engine
-from tessera.server.wire import REQUEST, Request, Response, read_frame, write_frame
+from tessera.server.wire import MAX_FRAME, REQUEST, Request, Response, read_frame, write_frame
 from tessera.shell.shell import Shell
 
 
@@ -19,6 +19,14 @@ class Session:
         self.id, self.engine, self.shell = number, engine, Shell(engine)
 
     def handle(self, payload: bytes) -> bytes:
+        """An answer that no frame holds is an error of its own, and the session goes on."""
+        answer = self._answer(payload)
+        if len(answer) <= MAX_FRAME:
+            return answer
+        number = Response.decode(answer).id
+        return Response(number, error=f"The result takes {len(answer):,} bytes and a frame holds {MAX_FRAME:,}: ask for fewer rows or columns").encode()
+
+    def _answer(self, payload: bytes) -> bytes:
         try:
             request = Request.decode(payload)
         except ValueError as e:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import sys
 from collections.abc import Callable, Iterable, Sequence
@@ -11,18 +12,6 @@ from tessera.engine import Engine, Result
 from tessera.errors import CatalogError
 from tessera.sources.catalog import type_name
 
-#: Meta commands and what they are for.
-HELP = {
-    ".help": "List these commands",
-    ".exit": "Leave the shell",
-    ".quit": "The same",
-    ".tables": "All tables by name",
-    ".schema <table>": "A statement that would create the table",
-    ".describe <table>": "The table's columns with their types",
-    ".indexes <table>": "What the table's files are sorted by",
-    ".stats": "Counts of what the engine holds",
-    ".read <filepath>": "Run the statements of a file",
-}
 PROMPT, MORE = "tessera> ", "....> "
 
 _PIECES = re.compile(r"'[^']*'?|--[^\n]*|/\*.*?(?:\*/|\Z)|;|.", re.S)
@@ -78,76 +67,95 @@ def run_script(engine: Engine, path: str) -> str:
     try:
         with open(path) as f:
             statements = split_statements(f.read())
-    except OSError:
-        return f"Error: Cannot open script file {path}\n"
+    except OSError as e:
+        return f"Error: {path}: {e.strerror}\n"
     out = ""
     for n, s in enumerate(statements, 1):
-        text = render(engine.try_execute(s))
-        if text.startswith("Error:"):
-            return f"{out}Execution failed at statement {n}:\n{s}\n{text}"
-        out += text
-    return f"{out}Script execution completed successfully. ({len(statements)} statements)\n"
+        r = engine.try_execute(s)
+        out += render(r)
+        if not r.success:
+            return f"{out}{path}: stopped at statement {n} of {len(statements)}: {s.strip()}\n"
+    return f"{out}{path}: {len(statements)} done\n"
 
 
 class Shell:
+    """Meta commands are the methods ``do_<name>``: ``.help`` shows their arguments and documentation."""
+
     def __init__(self, engine: Engine):
         self.engine = engine
-        self.commands: dict[str, Callable[[list[str]], str]] = {
-            ".help": self._help, ".tables": self._tables, ".stats": self._stats,
-            ".schema": self._of_table("Usage: .schema <table>\n", self._schema),
-            ".describe": self._of_table("Usage: .describe <table>\n", self._describe),
-            ".indexes": self._of_table("Usage: .indexes <table>\n", self._indexes),
-            ".read": lambda a: run_script(self.engine, a[0]) if a else "Usage: .read <filepath>\n",
-            ".exit": lambda _: "", ".quit": lambda _: "",
-        }
 
     def sql(self, text: str) -> str:
         return render(self.engine.try_execute(text))
 
+    def commands(self) -> dict[str, Callable[..., str]]:
+        return {"." + n.removeprefix("do_"): getattr(self, n) for n in sorted(dir(type(self))) if n.startswith("do_")}
+
     def meta(self, line: str) -> str:
         name, *arguments = line.split()
-        command = self.commands.get(name)
-        return command(arguments) if command else "Error: unknown command\n"
-
-    def _of_table(self, usage: str, command: Callable[[str, list[tuple[str, str]]], str]) -> Callable[[list[str]], str]:
-        def run(arguments: list[str]) -> str:
-            if not arguments:
-                return usage
-            try:
-                df = self.engine.table(arguments[0])
-            except CatalogError:
-                return "Error: unknown table\n"
-            return command(arguments[0], [(f.name, type_name(f.dataType.simpleString())) for f in df.schema.fields])
-
-        return run
+        command = self.commands().get(name)
+        if command is None:
+            return f"Error: {name} is none of " + " ".join(self.commands()) + "\n"
+        wanted = list(inspect.signature(command).parameters)
+        if len(arguments) < len(wanted):
+            return f"Error: {name} needs a " + " and a ".join(wanted) + "\n"
+        try:
+            return command(*arguments[: len(wanted)])
+        except CatalogError as e:
+            return f"Error: {e}\n"
+
+    def _columns(self, table: str) -> list[tuple[str, str]]:
+        return [(f.name, type_name(f.dataType.simpleString())) for f in self.engine.table(table).schema.fields]
+
+    def do_help(self) -> str:
+        """What can be typed besides SQL"""
+        rows = [(" ".join([n, *(a.upper() for a in inspect.signature(c).parameters)]), inspect.getdoc(c)) for n, c in self.commands().items()]
+        return print_table(["command", "gives"], rows)
+
+    def do_exit(self) -> str:
+        """The end of the session"""
+        return ""
 
-    def _help(self, _: list[str]) -> str:
-        return "".join(f"{c:<23}{t}\n" for c, t in HELP.items())
+    do_quit = do_exit
 
-    def _tables(self, _: list[str]) -> str:
+    def do_tables(self) -> str:
+        """The catalog's tables and the registered ones, a line each"""
         return "".join(f"{t}\n" for t in self.engine.catalog.list_tables())
 
-    def _schema(self, name: str, columns: list[tuple[str, str]]) -> str:
-        return f"CREATE TABLE {name} (\n" + ",\n".join(f"    {c} {t}" for c, t in columns) + "\n);\n"
+    def do_schema(self, table: str) -> str:
+        """SQL that makes an empty table of the same shape"""
+        return f"CREATE TABLE {table} (\n" + ",\n".join(f"    {c} {t}" for c, t in self._columns(table)) + "\n);\n"
 
-    def _describe(self, name: str, columns: list[tuple[str, str]]) -> str:
-        return print_table(["Column", "Type"], columns)
+    def do_describe(self, table: str) -> str:
+        """Columns and their types"""
+        return print_table(["column", "type"], self._columns(table))
 
-    def _indexes(self, name: str, columns: list[tuple[str, str]]) -> str:
-        return f"No indexes on {name}\n" if name in self.engine.catalog.external else f"Index on {name} (files sorted by {columns[0][0]}, skipped by their statistics)\n"
+    def do_indexes(self, table: str) -> str:
+        """How a scan of the table can skip files"""
+        (key, _), *_ = self._columns(table)
+        if table in self.engine.catalog.external:
+            return f"{table}: by whatever statistics its Parquet files have\n"
+        return f"{table}: every file is sorted by {key}, whose least and greatest values it names\n"
 
-    def _stats(self, _: list[str]) -> str:
+    def do_stats(self) -> str:
+        """Counts of what this engine has at the moment"""
         e = self.engine
         m = e.catalog.manifest()
+        segments = [s for t in m["tables"].values() for s in t["segments"]]
         facts = {
-            "Tables": len(e.catalog.list_tables()),
-            "Buffer Pool Size": e.spark.conf.get("spark.memory.fraction", "0.6") + " of the executors' heap",
-            "Disk Pages": f"{sum(len(t['segments']) for t in m['tables'].values())} segments",
-            "Catalog Version": m["version"],
-            "Active Transactions": len(e.transactions.active),
-            "Prepared Statements": len(e.prepared),
+            "manifest": m["version"],
+            "tables in the catalog": len(m["tables"]),
+            "tables registered": len(e.catalog.external),
+            "segments": len(segments),
+            "segments with files left out": sum(s["files"] is not None for s in segments),
+            "transactions open": len(e.transactions.active),
+            "statements prepared": len(e.prepared),
+            "shuffle partitions": e.spark.conf.get("spark.sql.shuffle.partitions"),
         }
-        return print_table(["Metric", "Value"], list(facts.items()))
+        return print_table(["fact", "value"], list(facts.items()))
+
+    def do_read(self, file: str) -> str:
+        """Results of a script's statements, up to the first error"""
+        return run_script(self.engine, file)
 
     def run(self, lines: Iterable[str], out: TextIO = sys.stdout) -> None:
         """Read lines up to ``.exit``; a statement may take several and ends with the line that has its semicolon."""

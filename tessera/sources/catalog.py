@@ -1,7 +1,8 @@
-"""Tables as versioned sets of Parquet segments under one manifest.
+"""Tables as versioned sets of Parquet segments under numbered manifests.
 
-A table's state is a list of segments (folders of Parquet files, all of them or some), named in a manifest that
-is replaced in one step. Nothing is ever overwritten, so a reader of an old manifest keeps its snapshot, and
+A table's state is a list of segments (folders of Parquet files, all of them or some), named in a manifest. A commit makes the manifest of
+the next number, which only one writer can; another one, in this process or elsewhere, starts anew from what that one left. Nothing is
+ever overwritten, so a reader of an old manifest keeps its snapshot, and
 a crash leaves either the old state or the new one. Every row carries its identity in two
 hidden columns: the batch it came in and its number there.
 """
@@ -13,14 +14,18 @@ import json
 import os
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import CatalogError
+from tessera.sources.files import Store
 
+Made = TypeVar("Made")
 ROW = ("__batch", "__row")
 #: The dialect's type names and Spark's.
 TYPES = {"INTEGER": "int", "INT": "int", "BIGINT": "bigint", "FLOAT": "double", "DOUBLE": "double", "BOOLEAN": "boolean", "VARCHAR": "string", "TEXT": "string", "DATE": "date", "TIMESTAMP": "timestamp"}
@@ -51,62 +56,101 @@ class TableInfo:
         return self.stored(0)
 
 
+class External(dict):
+    """Read-only tables by name: DataFrames, or functions that make them when first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if not isinstance(found, DataFrame):
+            found = self[name] = found()
+        return found
+
+
 class Catalog:
-    """``root`` is a folder that the driver and all executors share."""
+    """``root`` is a folder, by any path or address that Spark takes, that the driver and all executors share."""
+
+    #: So many manifests are kept before the latest.
+    HISTORY = 20
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.lock = threading.RLock()
-        self.external: dict[str, DataFrame] = {}
-        os.makedirs(self.root, exist_ok=True)
-        if not os.path.exists(self._path):
-            self.replace({"next_id": 1, "version": 0, "tables": {}})
+        self.external = External()
+        self.store = Store(spark, f"{self.root}/manifests")
+        if not self._versions():
+            self._publish({"next_id": 1, "version": 0, "tables": {}})
 
     # the manifest
 
-    @property
-    def _path(self) -> str:
-        return f"{self.root}/manifest.json"
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.store.names() if n.endswith(".json") and not n.startswith("."))
+
+    @staticmethod
+    def _name(version: int) -> str:
+        return f"{version:012d}.json"
+
+    def _publish(self, manifest: dict) -> bool:
+        return self.store.create(self._name(manifest["version"]), json.dumps(manifest))
 
     def manifest(self) -> dict:
-        with open(self._path) as f:
-            return json.load(f)
+        return json.loads(self.store.read(self._name(self._versions()[-1])))
 
-    def replace(self, manifest: dict) -> None:
+    def change(self, apply: Callable[[dict], Made]) -> Made:
+        """Commit what ``apply`` makes of the latest manifest. It is applied anew if another writer was first."""
         with self.lock:
-            part = f"{self._path}.{uuid.uuid4().hex}"
-            with open(part, "w") as f:
-                json.dump(manifest, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(part, self._path)
+            while True:
+                m = self.manifest()
+                made = apply(m)
+                m["version"] += 1
+                if self._publish(m):
+                    for v in self._versions():
+                        if v < m["version"] - self.HISTORY:
+                            self.store.delete(self._name(v))
+                    return made
 
     # tables
 
     def create_table(self, name: str, columns: list[tuple[str, str]]) -> TableInfo:
         """Columns as (name, type), with the dialect's or Spark's type names."""
-        with self.lock:
-            m = self.manifest()
+        if not columns:
+            raise CatalogError("A table needs a column")
+        known = [[n, TYPES.get(t.upper(), t)] for n, t in columns]
+        TableInfo(0, name, tuple(map(tuple, known))).schema  # fails on an unknown type
+
+        def apply(m: dict) -> None:
             if name in m["tables"] or name in self.external:
                 raise CatalogError(f"Table already exists: {name}")
-            if not columns:
-                raise CatalogError("A table needs a column")
-            known = [[n, TYPES.get(t.upper(), t)] for n, t in columns]
-            TableInfo(0, name, tuple(map(tuple, known))).schema  # fails on an unknown type
             m["tables"][name] = {"id": m["next_id"], "columns": known, "segments": []}
             m["next_id"] += 1
-            m["version"] += 1
-            self.replace(m)
+
+        self.change(apply)
         return self.get_table(name)
 
     def drop_table(self, name: str) -> None:
-        """The files stay for readers of older snapshots."""
-        with self.lock:
-            m = self.manifest()
+        """The files stay for readers of older snapshots, until ``vacuum``."""
+
+        def apply(m: dict) -> None:
             if m["tables"].pop(name, None) is None:
                 raise CatalogError(f"Unknown table: {name}")
-            m["version"] += 1
-            self.replace(m)
+
+        self.change(apply)
+
+    def vacuum(self) -> int:
+        """Delete segments and change sets that the latest manifest doesn't name: of dropped tables, aborted transactions and older snapshots.
+
+        Nothing may be reading or changing the tables meanwhile. Gives the number of folders deleted.
+        """
+        with self.lock:
+            used = {s["path"].rpartition("/")[2] for t in self.manifest()["tables"].values() for s in t["segments"]}
+            gone = 0
+            for table in Store(self.spark, self.root).names():
+                if table.isdigit():
+                    folder = Store(self.spark, f"{self.root}/{table}")
+                    for name in folder.names():
+                        if name not in used:
+                            folder.delete(name)
+                            gone += 1
+            return gone
 
     def get_table(self, name: str, manifest: dict | None = None) -> TableInfo:
         t = (manifest or self.manifest())["tables"].get(name)
@@ -117,8 +161,8 @@ class Catalog:
     def list_tables(self) -> list[str]:
         return sorted([*self.manifest()["tables"], *self.external])
 
-    def register(self, name: str, df: DataFrame) -> None:
-        """A read-only table that lives elsewhere."""
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """A read-only table that lives elsewhere, or what opens it when first asked for."""
         self.external[name] = df
 
     # segments

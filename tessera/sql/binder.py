@@ -67,8 +67,8 @@ class Binder:
     def __init__(self, spark: SparkSession, table: Callable[[str], DataFrame], arguments: Sequence[object] | None = None):
         self.spark, self.table, self.arguments = spark, table, arguments
         self.parameter_kinds: dict[int, str] = {}
-        #: The query's operators from the last to the first, with details, for EXPLAIN.
-        self.steps: list[tuple[str, str]] = []
+        #: The statement's operators from the scan up for EXPLAIN: name, details, and for a join what it joins.
+        self.steps: list[tuple[str, str, str | None]] = []
 
     # expressions
 
@@ -177,6 +177,18 @@ class Binder:
             raise BindError(f"{clause} must be boolean: {e}")
         return found.column.cast("boolean")
 
+    def step(self, name: str, detail: str, joined: str | None = None) -> None:
+        self.steps.append((name, detail, joined))
+
+    def joins_by_equality(self, e: N.Expr, scope: Scope, number: int) -> bool:
+        """Whether a condition that must hold equates something of table ``number`` with something of those before it."""
+        if not isinstance(e, N.Binary):
+            return False
+        if e.op == "AND":
+            return self.joins_by_equality(e.left, scope, number) or self.joins_by_equality(e.right, scope, number)
+        sides = [{scope.find(x).number for x in N.walk(side) if isinstance(x, N.Name)} for side in (e.left, e.right)]
+        return e.op == "=" and all(sides) and {number} in sides and any(number not in side for side in sides)
+
     # queries
 
     def scan(self, ref: N.TableRef, number: int) -> tuple[DataFrame, list[Field]]:
@@ -191,28 +203,28 @@ class Binder:
         if s.source is None:
             return self.spark.range(1).select(), Scope([])
         df, fields = self.scan(s.source, 0)
-        self.steps.append(("SEQ_SCAN", f"table: {s.source.name}"))
+        self.step("SEQ_SCAN", f"table: {s.source.name}")
         for k, j in enumerate(s.joins):
             other, more = self.scan(j.table, k + 1)
             fields = [*fields, *more]
             scope = Scope(fields)
             df = R.cross_join(df, other) if j.on is None else R.theta_join(df, other, self.predicate(j.on, scope, "ON"))
-            equal = j.on is not None and any(isinstance(x, N.Binary) and x.op == "=" for x in N.walk(j.on))
-            self.steps.append(("HASH_JOIN" if equal else "NESTED_LOOP_JOIN", f"table: {j.table.name}"))
+            equal = j.on is not None and self.joins_by_equality(j.on, scope, k + 1)
+            self.step("HASH_JOIN" if equal else "NESTED_LOOP_JOIN", "" if j.on is None else f"on: {j.on}", f"table: {j.table.name}")
         return df, Scope(fields)
 
     def select(self, s: N.Select) -> DataFrame:
         df, scope = self.source(s)
         if s.where is not None:
             df = R.filter_rows(df, self.predicate(s.where, scope, "WHERE"))
-            self.steps.append(("FILTER", str(s.where)))
+            self.step("FILTER", str(s.where))
         asked = [*s.items, *([s.having] if s.having is not None else []), *[e for e, _ in s.order_by]]
         calls = [x for e in asked for x in N.walk(e) if isinstance(x, N.Aggregate)]
         if calls or s.group_by or s.having is not None:
             df, scope = self.aggregate(df, scope, s.group_by, calls)
         if s.having is not None:
             df = R.having(df, self.predicate(s.having, scope, "HAVING"))
-            self.steps.append(("HAVING", str(s.having)))
+            self.step("HAVING", str(s.having))
 
         outputs: list[tuple[str, Bound]] = []
         for item in s.items:
@@ -224,15 +236,15 @@ class Binder:
                 outputs.append((item.column if isinstance(item, N.Name) else f"expr{len(outputs)}", self.bind(item, scope)))
         if s.order_by:
             df = R.order_by(df, [(self.sort_key(e, scope, s.items, outputs), up) for e, up in s.order_by])
-            self.steps.append(("ORDER_BY", ", ".join(str(e) for e, _ in s.order_by)))
+            self.step("ORDER_BY", ", ".join(str(e) for e, _ in s.order_by))
         if s.limit is not None or s.offset is not None:
             n, skip = self.count(s.limit, "LIMIT"), self.count(s.offset, "OFFSET") or 0
             df = R.limit(df, n, skip)
             top = s.order_by and n is not None
             if top:
                 self.steps.pop()
-            self.steps.append(("TOP_K" if top else "LIMIT", f"{n if n is not None else 'all'} offset {skip}"))
-        self.steps.append(("PROJECTION", ", ".join(n for n, _ in outputs)))
+            self.step("TOP_K" if top else "LIMIT", f"{n if n is not None else 'all'} offset {skip}")
+        self.step("PROJECTION", ", ".join(n for n, _ in outputs))
         return df.select(*[b.column.alias(n) for n, b in outputs])
 
     def sort_key(self, e: N.Expr, scope: Scope, items: tuple[N.Expr, ...], outputs: list[tuple[str, Bound]]) -> Column:
@@ -289,7 +301,7 @@ class Binder:
             name = f"agg_{len(aggs)}"
             aggs[name] = (f, argument)
             made[key] = Bound(F.col(name), kind, type=kept)
-        self.steps.append(("AGGREGATION", ", ".join(map(str, [*keys, *dict.fromkeys(calls)]))))
+        self.step("AGGREGATION", ", ".join(map(str, [*keys, *dict.fromkeys(calls)])))
         return R.aggregate(df, by, aggs), Scope(scope.fields, made, grouped=True)
 
     def values(self, v: N.Values) -> DataFrame:
@@ -302,7 +314,7 @@ class Binder:
             if len(found) > 1:
                 raise BindError("Type mismatch in VALUES")
             kinds.append(found.pop() if found else S.NULL)
-        self.steps.append(("VALUES", f"rows: {len(rows)}"))
+        self.step("VALUES", f"rows: {len(rows)}")
         one = self.spark.range(1)
         struct = lambda row: F.struct(*[(b.column if b.kind != S.NULL else b.column.cast({"numeric": "int"}.get(k, k if k != S.NULL else "string"))).alias(f"val{i}") for i, (b, k) in enumerate(zip(row, kinds, strict=True))])
         return one.select(F.inline(F.array(*[struct(r) for r in rows])))

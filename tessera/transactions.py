@@ -2,21 +2,21 @@
 
 A transaction reads the tables as they were when it began, with its own writes on top. Its writes are
 change sets, written beside the tables and unseen by others. Commit puts them on the latest committed state (the last
-writer of a row wins) and replaces the manifest; abort forgets them. A row that another open
+writer of a row wins) as a new manifest, anew if another driver was first; abort forgets them. A row that another open
 transaction has changed can't be changed: updates and deletes skip it and don't count it.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import TransactionError
+from tessera.errors import EngineError, TransactionError
 from tessera.functions.scalar import null_safe_predicate
 from tessera.sources.catalog import ROW, Catalog, TableInfo
 
@@ -33,6 +33,8 @@ class Transaction:
     id: int
     manifest: dict
     deltas: list[Delta] = field(default_factory=list)
+    #: Called with the manifest that the commit builds on; what one raises ends the transaction.
+    checks: list[Callable[[dict], None]] = field(default_factory=list)
     state: str = "active"
 
 
@@ -57,19 +59,25 @@ class TransactionManager:
         self._end(t, "aborted")
 
     def commit(self, t: Transaction) -> None:
+        def apply(m: dict) -> None:
+            for check in t.checks:
+                check(m)
+            for d in t.deltas:
+                entry = m["tables"].get(d.table.name)
+                if entry is None or entry["id"] != d.table.id:
+                    continue  # dropped meanwhile
+                if d.insert:
+                    entry["segments"].append({"path": d.path, "files": None})
+                else:
+                    entry["segments"] = self.catalog.rebase(d.table, entry["segments"], self._read(d))
+
         with self.catalog.lock:
             if t.deltas and t.state == "active":
-                m = self.catalog.manifest()
-                for d in t.deltas:
-                    entry = m["tables"].get(d.table.name)
-                    if entry is None or entry["id"] != d.table.id:
-                        continue  # dropped meanwhile
-                    if d.insert:
-                        entry["segments"].append({"path": d.path, "files": None})
-                    else:
-                        entry["segments"] = self.catalog.rebase(d.table, entry["segments"], self._read(d))
-                m["version"] += 1
-                self.catalog.replace(m)
+                try:
+                    self.catalog.change(apply)
+                except EngineError:
+                    self._end(t, "aborted")
+                    raise
             self._end(t, "committed")
 
     # reads
@@ -89,6 +97,13 @@ class TransactionManager:
                 df = df.unionByName(own) if d.insert else df.join(own.select(*ROW), list(ROW), "left_anti").unionByName(own.where(~F.col("__gone")).drop("__gone"))
         return df
 
+    def without_changed(self, t: Transaction, info: TableInfo, rows: DataFrame) -> DataFrame:
+        """Rows of a table, as stored, that the transaction has neither changed nor deleted."""
+        for d in t.deltas:
+            if d.table.id == info.id and not d.insert:
+                rows = rows.join(self._read(d).select(*ROW), list(ROW), "left_anti")
+        return rows
+
     def table(self, t: Transaction, name: str) -> DataFrame:
         self._check(t)
         if name in self.catalog.external:
@@ -119,13 +134,16 @@ class TransactionManager:
         info = self.catalog.get_table(name, t.manifest)
         return self._change(t, info, where, [F.col(info.stored(i)) for i in range(len(info.columns))], True)
 
+    def hit(self, t: Transaction, info: TableInfo, where: Column | None) -> DataFrame:
+        """The rows a change would hit, as stored: those the predicate holds for, without those that another open transaction has changed."""
+        found = self.rows(t, info.name)
+        found = found if where is None else found.filter(null_safe_predicate(where))
+        others = [self._read(d).select(*ROW) for o in self.active.values() if o is not t for d in o.deltas if d.table.id == info.id and not d.insert]
+        return found.join(reduce(DataFrame.unionByName, others), list(ROW), "left_anti") if others else found
+
     def _change(self, t: Transaction, info: TableInfo, where: Column | None, columns: list[Column], gone: bool) -> int:
         with self.catalog.lock:
-            hit = self.rows(t, info.name)
-            hit = hit if where is None else hit.filter(null_safe_predicate(where))
-            others = [self._read(d).select(*ROW) for o in self.active.values() if o is not t for d in o.deltas if d.table.id == info.id and not d.insert]
-            if others:
-                hit = hit.join(reduce(DataFrame.unionByName, others), list(ROW), "left_anti")
+            hit = self.hit(t, info, where)
             d = Delta(info, self.catalog.write(info, hit.select(*ROW, *columns, F.lit(gone).alias("__gone"))), False)
             n = self._read(d).count()
             if n:

@@ -141,3 +141,55 @@ def test_key_index(db):
     KeyIndex(db, "t", a).remove(2)
     assert KeyIndex(db, "t", a).get(2) is None and index.get(2) is not None
     db.abort(a)
+
+
+def test_two_engines_on_one_folder(db, spark):
+    from tessera.engine import Engine
+    from tessera.errors import EngineError
+    from tessera.sources import KeyIndex
+
+    other = Engine(spark, f"file://{db.catalog.root}")
+    a, b = db.begin(), other.begin()
+    db.execute("INSERT INTO t VALUES (3, 30)", a)
+    other.execute("UPDATE t SET v = 21 WHERE k = 2", b)
+    KeyIndex(other, "t", b).insert((4, 40))
+    db.commit(a)
+    other.commit(b)
+    assert read(db) == read(other) == [(1, 10), (2, 21), (3, 30), (4, 40)]
+    a, b = db.begin(), other.begin()
+    KeyIndex(db, "t", a).insert((9, 1))
+    KeyIndex(other, "t", b).insert((9, 2))
+    other.commit(b)
+    with pytest.raises(EngineError, match="Duplicate key: 9"):
+        db.commit(a)
+    assert a.state == "aborted" and read(db)[-1] == (9, 2)
+
+
+def test_a_number_is_given_once(db):
+    m = db.catalog.manifest()
+    assert not db.catalog._publish(m) and db.catalog.manifest() == m
+
+
+def test_vacuum(db):
+    a = db.begin()
+    db.execute("DELETE FROM t WHERE k = 1", a)
+    db.abort(a)
+    db.execute("UPDATE t SET v = 0 WHERE k = 2")
+    assert db.catalog.vacuum() >= 2 and db.catalog.vacuum() == 0
+    assert read(db) == [(1, 10), (2, 0)]
+
+
+def test_key_ranges(db):
+    from tessera.sources import KeyIndex
+
+    index = KeyIndex(db, "t")
+    for k in (5, 7, 9):
+        index.insert((k, k))
+    assert [r.k for r in index.scan(2, 8, descending=True).collect()] == [7, 5, 2]
+    assert index.remove_between(2, 5) == 2 and index.remove_between(8) == 1 and index.remove_between(100) == 0
+    a = db.begin()
+    own = KeyIndex(db, "t", a)
+    assert own.remove(7)
+    own.insert((7, 70))
+    db.commit(a)
+    assert read(db) == [(1, 10), (7, 70)]
