@@ -133,16 +133,43 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``u``, ``v`` -> ``node``, ``component`` by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    for k in range(0, len(nodes), 1 << 16):
+        some = nodes[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc", one_task: int = 500_000) -> DataFrame:
     """Connected components of an edge list: ``node``, ``component`` (its smallest node).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is
     two aggregations on node ids, edges never grow, and the number of rounds is
     logarithmic in the longest path. What a round joins is a table, so that joins can split the edges of a hot
-    node; every round is spooled, so the lineage stays short. Nodes without an edge are not returned.
+    node; every round is spooled, so the lineage stays short. No more than ``one_task`` edges are joined by one task
+    instead (some 100 MB at most), which spares the rounds. Nodes without an edge are not returned.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = spool(e, f"{tag}_0")
+    if e.count() <= one_task:
+        out = spool(e.coalesce(1).mapInArrow(_united, "node long, component long"), tag)
+        discard(e)
+        return out
     for k in range(1, 1000):
         # done when each node points to one other that points to none
         ends = e.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("v", F.lit(0), F.lit(1)))

@@ -197,8 +197,8 @@ def nodes(docs: DataFrame, *, lanes: int = LANES, width: int = WIDTH, also: Call
     return spool(_keyed(docs, id_col, text_col).mapInArrow(run, "i long, t long, node long, fingerprint binary, fp long"), "near_nodes")
 
 
-def text_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """What gives the ``set`` of shingles of each ``node`` asked for, from one text that has it; ``rows`` has ``i``, ``t``, ``node`` of all of ``docs``."""
+def text_sets(docs: DataFrame, entries: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """What gives the ``set`` of shingles of each ``node`` asked for; ``entries`` (``distinct_nodes``) says which text has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -207,16 +207,20 @@ def text_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, *, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["node", "set"])
 
     def sets(asked: DataFrame) -> DataFrame:
-        of = rows.join(asked, "node").groupBy("node").agg(F.min(F.struct("i", "t")).alias("x")).select("node", "x.*")
-        of = spool(of, "near_asked")
-        found = squeezed(_keyed(docs, id_col, text_col)).join(of, ["i", "t"]).select("node", "text").mapInArrow(run, "node long, set array<int>")
-        out = spool(found.dropDuplicates(["node"]), "near_sets")
+        of = spool(entries.join(asked, "node", "left_semi").select("node", "i", "t"), "near_asked")
+        found = squeezed(_keyed(docs, id_col, text_col)).join(of.hint("merge"), ["i", "t"]).select("node", "text").mapInArrow(run, "node long, set array<int>")
+        out = spool(found.dropDuplicates(["node"]), "near_sets")  # rows equal in id and text have one node
         discard(of)
         return out
 
     return sets
 
 
+def distinct_nodes(rows: DataFrame) -> DataFrame:
+    """``i``, ``t``, ``node``, ``fingerprint`` of all rows -> one for each node, with the smallest ``i``, ``t`` that has it."""
+    return spool(rows.groupBy("node").agg(F.min(F.struct("i", "t")).alias("x"), F.min("fingerprint").alias("fingerprint")).select("node", "x.i", "x.t", "fingerprint"), "near_entries")
+
+
 def band_posts(entries: DataFrame, lanes: int = LANES, bands: int = BANDS) -> DataFrame:
     """``node``, ``fingerprint`` -> a posting for each band: ``node``, ``fixed``, ``value``."""
     size = 2 * lanes // bands
@@ -225,10 +229,10 @@ def band_posts(entries: DataFrame, lanes: int = LANES, bands: int = BANDS) -> Da
 
 
 def _within(least: float) -> Callable[[pa.Table], pa.Table]:
-    """Links among the rows ``node``, ``c``, ``set`` of a block that join different ``c``."""
+    """Links between the ``asks`` rows of a block and the others (``node``, ``c``, ``set``, ``asks``) that join different ``c``."""
 
     def run(block: pa.Table) -> pa.Table:
-        node, c = block["node"].to_numpy(), block["c"].to_numpy()
+        node, c, asks = (block[k].to_numpy() for k in ("node", "c", "asks"))
         sets = [np.array(x, np.int32) for x in block["set"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -241,9 +245,8 @@ def _within(least: float) -> Callable[[pa.Table], pa.Table]:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        kinds, count = np.unique(c, return_counts=True)
         out = []
-        for k in np.flatnonzero(c != kinds[count.argmax()]):
+        for k in np.flatnonzero(asks):
             lo, hi = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
             n = hi - lo
             common = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
@@ -277,9 +280,10 @@ def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], Dat
 
     ``entries`` has a row with the MinHash ``fingerprint`` of each ``node``, ``posts`` the nodes' postings (``fixed``, ``value``), ``sets`` gives the ``set``
     of the nodes asked for; ``known`` are components found before. Pairs within a component need no check, and pairs whose
-    lanes differ too much for ``least`` (``_plausible``) get none. Each node is first compared with the least and the
-    greatest of its postings. Where a posting still holds several components after that, all its pairs of different components are verified:
-    one by one, or if it has over ``pair_up`` nodes in pairs of blocks, a task each, that give a link per two components and no more.
+    lanes differ too much for ``least`` (``_plausible``) get none. Each node is first compared with the least of its postings. Where a
+    posting still holds several components after that, all its pairs of different components are verified: one by one, or if it
+    has over ``pair_up`` nodes, those outside the component that has the smallest node against all, in blocks, a task each, that give a link
+    per two components and no more.
     """
     key = ["fixed", "value"]
 
@@ -287,10 +291,9 @@ def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], Dat
         return rows.withColumn("c", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
     def several(rows: DataFrame, more_than: int, name: str) -> DataFrame:
-        """Postings with more nodes than that, of several components; their first and last nodes, with their components."""
-        own = F.struct("node", "c")
-        of = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(own).alias("first"), F.max(own).alias("last"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        of = spool(of.where((F.col("n") > more_than) & (F.col("lo") != F.col("hi"))).drop("lo", "hi"), f"{tag}_sizes{name}")
+        """Postings with more nodes than that, of several components; their first node with its component, and the smallest component."""
+        of = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("node", "c")).alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        of = spool(of.where((F.col("n") > more_than) & (F.col("lo") != F.col("hi"))).drop("hi"), f"{tag}_sizes{name}")
         out = spool(rows.join(of, key), f"{tag}_posts{name}")
         discard(of)
         return out
@@ -300,36 +303,36 @@ def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], Dat
         common = F.size(F.array_intersect("s", "t"))
         return pairs.join(x, "a").join(y, "b").where(common >= least * (F.size("s") + F.size("t") - common)).select("a", "b")
 
-    def both(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-
     none = entries.select("node", F.col("node").alias("component")).limit(0)
     post = several(marked(posts, known), 1, "")
-    pair = lambda a, b: F.struct(F.least(a["node"], b["node"]).alias("a"), F.greatest(a["node"], b["node"]).alias("b"), (a["c"] != b["c"]).alias("new"))
-    node = F.struct("node", "c")
-    ends = post.select(F.inline(F.array(pair(F.col("first"), node), pair(node, F.col("last"))))).where("new").select("a", "b").distinct()
+    if post.isEmpty():
+        return none if known is None else known
+    own = sets(post.select("node"))
+    ends = post.where(F.col("first.c") != F.col("c")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = spool(_plausible(ends, entries, least), f"{tag}_tried")
     found = none if known is None else known
     if not tried.isEmpty():
-        own = sets(both(tried).distinct())
         links = spool(verified(tried, own), f"{tag}_links")
-        discard(own)
         found = components(links.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_cc")
 
-    rest = several(marked(post.select("node", *key), found), 3, "_rest")
+    rest = several(marked(post.select("node", *key), found), 2, "_rest")
     discard(post)
     if rest.isEmpty():
+        discard(own)
         return found
     few, many = rest.where(F.col("n") <= pair_up), rest.where(F.col("n") > pair_up)
     x, y = (few.select(*key, F.col("node").alias(i), F.col("c").alias(c)) for i, c in (("a", "c"), ("b", "d")))
     pairs = x.join(y, key).where("a < b and c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = spool(_plausible(pairs, entries, least), f"{tag}_pairs")
-    own = sets(both(pairs).union(many.select("node")).distinct())
-    blocks = F.ceil(F.col("n") / pair_up).cast("long")
-    mine = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = mine.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "c").join(own, "node")
-    more = spool(verified(pairs, own).union(dealt.groupBy(*key, "x", "y").applyInArrow(_within(least), "a long, b long")), f"{tag}_more")
-    discard(rest, own, pairs)
+    outside = F.sum((F.col("c") != F.col("lo")).cast("long"))
+    sizes = spool(many.groupBy(*key).agg(F.ceil(F.count("*") / pair_up).cast("long").alias("blocks"), F.ceil(outside / pair_up).cast("long").alias("asking")), f"{tag}_blocks")
+    dealt = many.join(sizes, key).withColumn("own", F.xxhash64("node"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = dealt.where(F.col("c") != F.col("lo")).select(*key, F.pmod("own", "asking").alias("x"), upto("blocks").alias("y"), "node", "c", F.lit(True).alias("asks"))
+    answers = dealt.select(*key, upto("asking").alias("x"), F.pmod("own", "blocks").alias("y"), "node", "c", F.lit(False).alias("asks"))
+    in_blocks = asks.union(answers).join(own, "node").groupBy(*key, "x", "y").applyInArrow(_within(least), "a long, b long")
+    more = spool(verified(pairs, own).union(in_blocks), f"{tag}_more")
+    discard(rest, own, pairs, sizes)
     if more.isEmpty():
         return found
     return components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_all")
@@ -342,10 +345,9 @@ def classes(rows: DataFrame, docs: DataFrame, *, least: float = 0.8, lanes: int
     text, whatever others have its id. A null id is smaller than all others. An empty table gives an empty result.
     """
     of = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), F.col("text_hash").alias("t"), F.col("set_hash").alias("node"), "fingerprint")
-    entries = spool(of.select("node", "fingerprint").distinct(), "minhash_entries")
-    found = linked(entries, band_posts(entries, lanes, bands), text_sets(docs, of, width), least=least, pair_up=pair_up, tag="minhash")
-    own = of.groupBy("node").agg(F.min("i").alias("i")).join(found, "node", "left").select("node", "i", F.coalesce("component", "node").alias("c"))
-    own = spool(own, "minhash_own")
+    entries = distinct_nodes(of)
+    found = linked(entries, band_posts(entries, lanes, bands), text_sets(docs, entries, width), least=least, pair_up=pair_up, tag="minhash")
+    own = spool(entries.join(found, "node", "left").select("node", "i", F.coalesce("component", "node").alias("c")), "minhash_own")
     lead = spool(own.groupBy("c").agg(F.min("i").alias("__c")), "minhash_leads")
     known = spool(own.join(lead, "c").select(F.col("node").alias("set_hash"), "__c"), "minhash_known")
     return rows.join(known, "set_hash").select(*rows.columns, F.when(F.col("__c") != NULL_ID, F.col("__c")).alias("class_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, components, discard, slices, spool
-from tessera.llm.minhash import band_posts, linked, nodes, text_sets
+from tessera.llm.minhash import band_posts, distinct_nodes, linked, nodes, text_sets
 
 SEED = 42
 
@@ -187,8 +187,8 @@ def _hex(fp: str) -> Column:
 def _near_texts(docs: DataFrame, width: int, max_bits: int, alike: float, alike_width: int, pair_up: int, id_col: str, text_col: str) -> DataFrame:
     """``near_duplicates`` with a likeness: nodes are sets of shingles, and only equal sets link unchecked."""
     rows = nodes(docs, width=alike_width, also=partial(fingerprint, width=width), id_col=id_col, text_col=text_col)
-    sets = text_sets(docs, rows, alike_width, id_col=id_col, text_col=text_col)
-    entries = spool(rows.select("node", "fingerprint").distinct(), "near_entries")
+    entries = distinct_nodes(rows)
+    sets = text_sets(docs, entries, alike_width, id_col=id_col, text_col=text_col)
     found = linked(entries, band_posts(entries), sets, least=alike, pair_up=pair_up, tag="near_bands")
     by_print = spool(rows.select("node", "fp").distinct(), "near_prints")
     pairs = candidates(by_print.select("fp").distinct(), max_bits=max_bits, pair_up=pair_up)

@@ -181,13 +181,14 @@ def test_candidates_are_complete(spark, bits, pair_up):
     assert len(got) == len(set(map(frozenset, got))) and {frozenset(p) for p in got if (p[0] ^ p[1]).bit_count() <= bits} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components(spark, one_task):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(200)] + [(5000, 5000 + i) for i in range(1, 400)] + [(7, 7), (3, 2)]
     want = brute_components({x for e in edges for x in e}, edges)
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert found == {n: c for n, c in want.items() if n in found} and set(want) - set(found) <= {n for n in want if want[n] == n}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 # sharding

@@ -1,14 +1,22 @@
 """The pipeline's stages on an odd table, each against what its predecessor kept."""
 
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tessera.llm import langid, toxicity
 from tessera.llm.common import spool
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.minhash import classes, fingerprint_pairs
 from tessera.llm.queries import ORACLE_SQL, QUERIES
+from tessera.llm.simhash import near_duplicates
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +85,126 @@ def test_oracles(spark, name):
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(q.fetchall())
 
 
+def close_pairs(texts, least=0.8, width=5):
+    """All pairs of different sets of word shingles with that Jaccard likeness, by the rarest shingles of each: two sets so alike share one of them."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset())
+    found = {s: k for k, s in enumerate(sets)}
+    often = Counter(x for s in found for x in s)
+    index, pairs = {}, []
+    for s, k in found.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+        for j in {j for x in rare for j in index.get(x, ())}:
+            if len(s & sets[j]) >= least * len(s | sets[j]):
+                pairs.append((j, k))
+        for x in rare:
+            index.setdefault(x, []).append(k)
+    return pairs
+
+
+def test_recall_of_near_copies(spark):
+    """Of all pairs of different texts alike by 0.8, nine in ten share a group; the texts of a group hang together by such pairs."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = rows.collect()
+    pairs = close_pairs([r.text for r in texts])
+    assert len(pairs) >= 40
+    group = {r.doc_id: r.component_id for r in near_duplicates(rows, alike=0.8).collect()}
+    by_class = {r.doc_id: r.class_id for r in classes(fingerprint_pairs(rows), rows).collect()}
+    for found in (group, by_class):
+        same = [found[texts[j].doc_id] == found[texts[k].doc_id] for j, k in pairs]
+        assert np.mean(same) >= 0.9, np.mean(same)
+    linked = {texts[k].doc_id for p in pairs for k in p}
+    several = {c for c, n in Counter(group.values()).items() if n > 1}
+    text_of = {r.doc_id: " ".join((r.text or "").split()).lower() for r in texts}
+    for i, c in group.items():
+        assert c not in several or i in linked or any(text_of[i] == text_of[j] for j in group if j != i and group[j] == c)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with the names that operators give to theirs, in any case."""
+    names = "__d __t __k __s __n __lang __score __bits __N_LINES __n_dropped __times __copy __rows __c node component n size key fp".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    return docs.withColumns({n: F.concat(F.lit(f"{n}:"), "doc_id") for n in names}), names
+
+
+def test_clashing_names(spark, clashing):
+    now, names = clashing
+    columns = now.columns
+    for name, stage in cp.STAGES:
+        now = spool(stage(spark, now, SF), name)
+        if name != "packing":
+            assert now.columns == columns and now.count() > 0
+            assert all(r[n] == f"{n}:{r.doc_id}" for r in now.collect() for n in names)
+
+
+def test_operators_keep_clashing_names(spark, clashing):
+    docs, names = clashing
+    model = langid.train(docs)
+    rows = [toxicity.score(langid.identify(line_dedup(docs), model), toxicity.fit([("a b", 0, "en"), ("c", 1, "en")], epochs=1))]
+    for df in rows:
+        assert len(set(map(str.lower, df.columns))) == len(df.columns) == len(docs.columns) + 5
+        assert all(r[n] == f"{n}:{r.doc_id}" for r in df.collect() for n in names)
+
+
+def test_language_scores_by_hand(spark):
+    """Letter trigrams bound and bundled one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang").limit(40)
+    rows = docs.collect()
+    b = langid.bound()
+
+    def bundle(texts):
+        out = np.zeros(langid.DIM)
+        for t in texts:
+            s = [0] + [langid._symbol(ord(c)) for c in t.lower()] + [0]
+            for x, y, z in zip(s, s[1:], s[2:]):
+                if y:
+                    out += b.parts[0][x].astype(float) * b.parts[1][y] * b.parts[2][z]
+        return out
+
+    unit = lambda v: v / np.linalg.norm(v)
+    prototypes = {lang: unit(bundle([r.text for r in rows if r.lang == lang and r.text])) for lang in {r.lang for r in rows}}
+    found = {r.doc_id: (r["__lang"], r["__score"]) for r in langid.identify(docs, langid.train(docs)).collect()}
+    for r in rows[:12]:
+        cosine = {lang: unit(bundle([r.text])) @ p for lang, p in prototypes.items()}
+        best = max(cosine, key=cosine.get)
+        assert found[r.doc_id][0] == best and found[r.doc_id][1] == pytest.approx(max(0, cosine[best]), abs=1e-4)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The network's layers for one text at a time, place by place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def score(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        feats = [[zlib.crc32(k.encode()) % toxicity.BUCKETS for k in (w, *(f"{n}|{w[:n]}" for n in (3, 4, 5)))] for w in words]
+        e = [sum(model.embedding[k].astype(float) for k in f) for f in feats] or [np.zeros(toxicity.DIM)]
+        e += [np.zeros(toxicity.DIM)] * 2  # the padding behind a text
+        tops = np.concatenate([np.max([sum(e[p + k] @ f[k] for k in range(len(f)) if p + k < len(e)) for p in range(len(e))], 0) for f in model.filters])
+        z = np.maximum(tops + model.bias, 0) @ model.weight + model.offset
+        lang = np.argmax(sum(model.langs[f[0]].astype(float) for f in feats)) if feats else 0
+        return 1 / (1 + math.exp(-(z - model.threshold[lang] + math.log(0.3 / 0.7))))
+
+    for r in toxicity.score(docs, model).limit(25).collect():
+        if len(r.text or "") < 5000:
+            assert r["__score"] == pytest.approx(score(r.text), abs=1e-4)
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "vile words " * (1 + i % 50), "en") for i in range(300)] + [(7, "vile words " * 8, "en")] * 500, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 1)] * 400, "doc_id long, toxic int")
+    model, seen = None, []
+    fit, toxicity.fit = toxicity.fit, lambda rows: seen.extend(rows)
+    try:
+        model = toxicity.train(docs, labels, max_rows=100, max_bytes=9000)
+    finally:
+        toxicity.fit = fit
+    assert model is None and 0 < len(seen) <= 100 and 8000 < sum(len(t) for t, _, _ in seen) <= 9000
+
+
 def test_held_out_language_and_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
