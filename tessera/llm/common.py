@@ -6,8 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 #: Stands for a null id inside an operator. A null id and the least of all longs are one id to those that use it.
 NULL_ID = -(2**63)
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 _kept: set[str] = set()
 
@@ -56,14 +55,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Executions that end within this leave no shuffle files behind: what they have written takes their place."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: Callable[[str], str]) -> Iterator[str]:
+    """A setting of the session made from what it is now, for the time being."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value(before))
     try:
-        yield
+        yield spark.conf.get(key)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[str]:
+    """Executions that end within this leave no shuffle files behind: what they have written takes their place."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", lambda _: "true")
 
 
 def spool(df: DataFrame, tag: str) -> DataFrame:
@@ -80,11 +84,15 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def discard(*spools: DataFrame) -> None:
     """Delete what ``spool`` wrote, once all that is made from it has been written itself."""
     for df in spools:
-        fs, at = _file_system(df.sparkSession, df.spooled.rpartition("/")[0])
-        fs.delete(at, True)
+        delete(df.sparkSession, df.spooled.rpartition("/")[0])
 
 
 def fresh(columns: Sequence[str], *names: str) -> list[str]:

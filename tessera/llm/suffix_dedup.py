@@ -2,9 +2,11 @@
 
 A suffix's bucket is told by its first bytes. The initial buckets are those of all q-grams
 (``Q`` bytes), with a 64-bit identifier that every task computes alike, so no rank has to be passed around.
-A deeper bucket is refined from the identifiers of the initial buckets at later offsets
-(``deeper``), recursively until the depth is the length asked for, and a bucket with one suffix is finished:
-no longer string in it can repeat.
+The bucket of twice the depth is that of the pair (own bucket, bucket of the suffix that starts ``depth`` bytes later), and refined
+buckets are used in the same way for the next depth (``bucket``). A string of any length is told by the deepest buckets at its
+begin and at the offset where they end with it (``deeper``). A bucket with one suffix is finished:
+no longer string in it can repeat. Since identifiers are hashes, suffixes of a bucket meet by grouping on identifiers, and their
+order among each other is never needed.
 
 What makes it fit a cluster is which suffixes are sorted at all. Of each window of ``length`` bytes the
 q-gram with the least hash is its anchor; equal windows have equal anchors at equal offsets.
@@ -32,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, scratch_dir, slices, spool
+from tessera.llm.common import delete, discard, scratch_dir, setting, shuffles_dropped, slices, spool
 
 Q = 40
 #: Sizes of the blocks of windows at each level after the first.
 BLOCKS = (32, 4, 1)
 CHUNK = 1 << 20
 SEED = 5
+#: So many bytes of text, or as many as the session's number of shuffle partitions gives, share a bucket of the table of texts.
+BUCKET_BYTES = 256 << 20
+#: Fixed value: the most buckets that Spark allows by default.
+MOST_BUCKETS = 100_000
 
 
 @lru_cache(1)
@@ -81,14 +87,23 @@ def bucket_ids(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Identifiers of the buckets of ``depth`` bytes (Q times a power of two) of the suffixes at ``at``, refined from those of half the depth."""
+    if depth == Q:
+        return ids[at]
+    half = depth // 2
+    return _mix(bucket(ids, at, half) * np.uint64(0x9E3779B97F4A7C15) + bucket(ids, at + half, half))
+
+
 def deeper(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Identifiers of the buckets of the strings [start, end): those of the q-gram buckets at later offsets, put together."""
-    x = (end - start).astype(np.uint64)
-    last = end - Q
-    for k in range(int((end - start - 1).max(initial=0)) // Q + 1):
-        at = start + k * Q
-        x = np.where(at < last + Q, _mix(x * np.uint64(0x9E3779B97F4A7C15) + ids[np.minimum(at, last)]), x)
-    return x
+    """Identifiers of the strings [start, end), of Q bytes at least: the deepest buckets that fit, at the begin and up to the end."""
+    out, size, depth = np.zeros(len(start), np.uint64), end - start, Q
+    while len(size) and depth <= size.max():
+        here = np.flatnonzero((size >= depth) & (size < 2 * depth))
+        first, last = bucket(ids, start[here], depth), bucket(ids, end[here] - depth, depth)
+        out[here] = _mix(_mix(first * np.uint64(0x9E3779B97F4A7C15) + last) + size[here].astype(np.uint64))
+        depth *= 2
+    return out
 
 
 def runs(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -174,14 +189,14 @@ def _nodes(texts: DataFrame, asked: DataFrame, length: int, block: int) -> DataF
     return _exploded(out, names)
 
 
-def _refine(nodes: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Settled windows (doc, first, last), and one row of each kind whose core several kinds share."""
+def _refine(nodes: DataFrame, core: list[str]) -> tuple[DataFrame, ...]:
+    """Settled windows (doc, first, last), and one row of each kind whose core several kinds share; then the tables these read."""
     kinds = spool(nodes.groupBy(*core, "hi", "lo", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("one")), "suffix_kinds")
     twice = spool(kinds.where("n > 1").select(*core, "hi", "lo", "u"), "suffix_twice")
     repeated = nodes.join(twice, [*core, "hi", "lo", "u"]).select("doc", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
     mixed = kinds.groupBy(*core).agg(F.count("*").alias("m")).where("m > 1").select(*core)
     again = kinds.join(mixed, core).select("one.doc", "one.a", "hi", "lo")
-    return repeated, again
+    return repeated, again, kinds, twice
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -199,22 +214,34 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text")).withColumn("doc", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tessera_{uuid.uuid4().hex}"
-    # texts move once; bucketed, later joins find them in place
-    distinct = keyed.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    distinct.write.bucketBy(parts, "doc").sortBy("doc").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-
+    # texts move once; bucketed, later joins find them in place. The more bytes, the more buckets
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    with setting(spark, "spark.sql.shuffle.partitions", lambda now: str(max(int(now), min(-(-size // BUCKET_BYTES), MOST_BUCKETS)))) as parts, shuffles_dropped(spark):
+        distinct = keyed.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        distinct.write.bucketBy(int(parts), "doc").sortBy("doc").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    try:
+        return _without(keyed, spark.table(name), length, with_text)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, f"{scratch_dir(spark)}/{name}")
+
+
+def _without(keyed: DataFrame, texts: DataFrame, length: int, with_text: bool) -> DataFrame:
+    """``remove_repeats`` of the rows ``keyed``, whose distinct texts are the table ``texts``."""
     found = spool(_anchors(texts.select("doc", "text").where(F.length("text") >= length), length), "suffix_anchors")
     # a table of its own, so that the join below can split the rows of a hot bucket
     shared = spool(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix_shared")
-    repeated, again = _refine(spool(found.join(shared, "h"), "suffix_level0"), ["h"])
+    nodes = spool(found.join(shared, "h"), "suffix_level0")
+    discard(found, shared)
+    repeated, again, *made = _refine(nodes, ["h"])
     settled = [repeated]
+    made.append(nodes)
     for i, block in enumerate(BLOCKS):
         nodes = spool(_nodes(texts, again, length, block), f"suffix_level{i + 1}")
-        repeated, again = _refine(nodes, ["h", "k", "c"])
+        repeated, again, *more = _refine(nodes, ["h", "k", "c"])
         settled.append(repeated)
+        made += [nodes, *more]
     spans = settled[0]
     for s in settled[1:]:
         spans = spans.union(s)
@@ -242,5 +269,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
 
     done = texts.join(spans, "doc", "left").select("doc", "text", "copies", "spans").mapInArrow(run, schema)
     done = spool(done, "suffix_done")
-    spark.sql(f"DROP TABLE {name}")
+    discard(*made)
     return keyed.select("doc_id", "doc").join(done, "doc").drop("doc")
