@@ -275,15 +275,15 @@ def _plausible(pairs: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], *, least: float, known: DataFrame | None = None, pair_up: int = 128, tag: str = "near") -> DataFrame:
+def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], *, least: float, known: DataFrame | None = None, pair_up: int = 32, tag: str = "near") -> DataFrame:
     """``node``, ``component``: the components of all pairs of nodes that share a posting and whose sets have a Jaccard likeness of ``least``.
 
     ``entries`` has a row with the MinHash ``fingerprint`` of each ``node``, ``posts`` the nodes' postings (``fixed``, ``value``), ``sets`` gives the ``set``
     of the nodes asked for; ``known`` are components found before. Pairs within a component need no check, and pairs whose
     lanes differ too much for ``least`` (``_plausible``) get none. Each node is first compared with the least of its postings. Where a
     posting still holds several components after that, all its pairs of different components are verified: one by one, or if it
-    has over ``pair_up`` nodes, those outside the component that has the smallest node against all, in blocks, a task each, that give a link
-    per two components and no more.
+    has over ``pair_up`` nodes, those outside the component that has the smallest node against all, in blocks of four times as many, a task each,
+    that give a link per two components and no more.
     """
     key = ["fixed", "value"]
 
@@ -325,7 +325,7 @@ def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], Dat
     pairs = x.join(y, key).where("a < b and c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = spool(_plausible(pairs, entries, least), f"{tag}_pairs")
     outside = F.sum((F.col("c") != F.col("lo")).cast("long"))
-    sizes = spool(many.groupBy(*key).agg(F.ceil(F.count("*") / pair_up).cast("long").alias("blocks"), F.ceil(outside / pair_up).cast("long").alias("asking")), f"{tag}_blocks")
+    sizes = spool(many.groupBy(*key).agg(F.ceil(F.count("*") / (4 * pair_up)).cast("long").alias("blocks"), F.ceil(outside / (4 * pair_up)).cast("long").alias("asking")), f"{tag}_blocks")
     dealt = many.join(sizes, key).withColumn("own", F.xxhash64("node"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asks = dealt.where(F.col("c") != F.col("lo")).select(*key, F.pmod("own", "asking").alias("x"), upto("blocks").alias("y"), "node", "c", F.lit(True).alias("asks"))
@@ -338,7 +338,7 @@ def linked(entries: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], Dat
     return components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), tag=f"{tag}_all")
 
 
-def classes(rows: DataFrame, docs: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, width: int = WIDTH, pair_up: int = 128) -> DataFrame:
+def classes(rows: DataFrame, docs: DataFrame, *, least: float = 0.8, lanes: int = LANES, bands: int = BANDS, width: int = WIDTH, pair_up: int = 32) -> DataFrame:
     """``rows`` of ``fingerprint_pairs(docs)`` with ``class_id``: the smallest id reached by links between texts that share a band and are alike by ``least``.
 
     Links are verified by the Jaccard likeness of the sets of shingles of the texts in ``docs``. Equal sets are one entry. Each row has a class by its own

@@ -189,14 +189,14 @@ def _near_texts(docs: DataFrame, width: int, max_bits: int, alike: float, alike_
     rows = nodes(docs, width=alike_width, also=partial(fingerprint, width=width), id_col=id_col, text_col=text_col)
     entries = distinct_nodes(rows)
     sets = text_sets(docs, entries, alike_width, id_col=id_col, text_col=text_col)
-    found = linked(entries, band_posts(entries), sets, least=alike, pair_up=pair_up, tag="near_bands")
+    found = linked(entries, band_posts(entries), sets, least=alike, pair_up=max(1, pair_up // 4), tag="near_bands")
     by_print = spool(rows.select("node", "fp").distinct(), "near_prints")
     pairs = candidates(by_print.select("fp").distinct(), max_bits=max_bits, pair_up=pair_up)
     pair = [F.col("f").alias("fixed"), F.col("g").alias("value")]
     posts = by_print.select("node", F.col("fp").alias("fixed"), F.col("fp").alias("value"))
     for end in "fg":
         posts = posts.union(pairs.join(by_print, F.col(end) == F.col("fp")).select("node", *pair))
-    found = linked(entries, spool(posts, "near_print_posts"), sets, least=alike, known=found, pair_up=pair_up, tag="near_prints")
+    found = linked(entries, spool(posts, "near_print_posts"), sets, least=alike, known=found, pair_up=max(1, pair_up // 4), tag="near_prints")
     own = spool(rows.join(found, "node", "left").select("i", "t", "fp", F.coalesce("component", "node").alias("c")), "near_own")
     lead = spool(own.groupBy("c").agg(F.min(F.struct("i", "t")).alias("lead")).select("c", F.col("lead.i").alias("lead"), F.col("lead.t").alias("lead_t")), "near_leads")
     discard(rows, entries, by_print)
