@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import langid
-from tessera.llm.common import NULL_ID, documents, fresh, named, spool
+from tessera.llm.common import NULL_ID, discard, documents, fresh, named, spool
 from tessera.llm.line_dedup import ADDED, line_dedup
 from tessera.llm.mixing import mix, word_count
 from tessera.llm.packing import pack
@@ -84,7 +84,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Each stage's rows are written before the next one reads them, and deleted when that one's are written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = spool(stage(spark, docs, sf_dir), f"stage_{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
