@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 #: Stands for a null id inside an operator. A null id and the least of all longs are one id to those that use it.
 NULL_ID = -(2**63)
 
+#: So much Spark hands to Python at a time while it writes a step.
+BATCH_BYTES = "16m"
 _own_dir: str | None = None
 _kept: set[str] = set()
 
@@ -77,7 +79,7 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{tag}"
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", lambda _: BATCH_BYTES):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.spooled = path
