@@ -53,21 +53,30 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bound:
-    """Trigram vectors, made when first asked for; at most CODES x DIM bytes."""
+    """Trigram vectors, made when first asked for and kept one behind the other: DIM bytes for each trigram met, CODES x DIM at most.
+
+    A table with a place for each code would take all of its memory where the system hands it out in huge pages.
+    """
 
     def __init__(self) -> None:
         letters = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * 2 - 1
         self.parts = [np.roll(letters, k, axis=1) for k in (2, 1, 0)]
-        self.known = np.zeros(CODES, bool)
-        self.vectors = np.zeros((CODES, DIM), np.int8)
+        self.place, self.known = np.full(CODES, -1, np.int32), 0
+        self.vectors = np.zeros((0, DIM), np.int8)
 
     def __getitem__(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[~self.known[codes]]
+        new = np.unique(codes[self.place[codes] < 0])
         if len(new):
+            upto = self.known + len(new)
+            if upto > len(self.vectors):
+                room = np.empty((min(CODES, upto + upto // 2), DIM), np.int8)
+                room[: self.known] = self.vectors[: self.known]
+                self.vectors = room
             a, b, c = self.parts
-            self.vectors[new] = a[new // SYMBOLS**2] * b[new // SYMBOLS % SYMBOLS] * c[new % SYMBOLS]
-            self.known[new] = True
-        return self.vectors[codes].astype(np.float32)
+            self.vectors[self.known : upto] = a[new // SYMBOLS**2] * b[new // SYMBOLS % SYMBOLS] * c[new % SYMBOLS]
+            self.place[new] = np.arange(self.known, upto, dtype=np.int32)
+            self.known = upto
+        return self.vectors[self.place[codes]].astype(np.float32)
 
 
 @lru_cache(1)

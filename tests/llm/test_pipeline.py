@@ -215,3 +215,14 @@ def test_held_out_language_and_toxicity(spark):
     rows = QUERIES["op8_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").collect()
     bad, good = (np.array([r.score for r in rows if r.toxic == t]) for t in (1, 0))
     assert (bad[:, None] > good[None]).mean() > 0.8
+
+
+def test_trigram_vectors_take_memory_as_they_are_met():
+    b, r = langid.Bound(), np.random.default_rng(3)
+    asked = [np.unique(r.integers(0, langid.CODES, n)) for n in (1, 300, 2000)] + [np.array([5, 5, 0, langid.CODES - 1])]
+    for codes in asked * 2:
+        x, y, z = codes // langid.SYMBOLS**2, codes // langid.SYMBOLS % langid.SYMBOLS, codes % langid.SYMBOLS
+        assert (b[codes] == b.parts[0][x] * b.parts[1][y] * b.parts[2][z]).all()
+    assert b.vectors.nbytes < 2 * len(np.unique(np.concatenate(asked))) * langid.DIM
+    b[np.arange(langid.CODES)]
+    assert b.vectors.nbytes == langid.CODES * langid.DIM
