@@ -45,6 +45,9 @@ SEED = 5
 BUCKET_BYTES = 256 << 20
 #: Fixed value: the most buckets that Spark allows by default.
 MOST_BUCKETS = 100_000
+#: A step's tables have a file for so many bytes of text or more, but four files for each core. A file costs the same whatever is
+#: in it; in a local folder Spark begins processes for each (``chmod``), of which each shares all memory of the executor at first.
+FILE_BYTES = 8 << 20
 
 
 @lru_cache(1)
@@ -189,10 +192,10 @@ def _nodes(texts: DataFrame, asked: DataFrame, length: int, block: int) -> DataF
     return _exploded(out, names)
 
 
-def _refine(nodes: DataFrame, core: list[str]) -> tuple[DataFrame, ...]:
+def _refine(nodes: DataFrame, core: list[str], files: int) -> tuple[DataFrame, ...]:
     """Settled windows (doc, first, last), and one row of each kind whose core several kinds share; then the tables these read."""
-    kinds = spool(nodes.groupBy(*core, "hi", "lo", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("one")), "suffix_kinds")
-    twice = spool(kinds.where("n > 1").select(*core, "hi", "lo", "u"), "suffix_twice")
+    kinds = spool(nodes.groupBy(*core, "hi", "lo", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("one")), "suffix_kinds", files)
+    twice = spool(kinds.where("n > 1").select(*core, "hi", "lo", "u"), "suffix_twice", files)
     repeated = nodes.join(twice, [*core, "hi", "lo", "u"]).select("doc", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
     mixed = kinds.groupBy(*core).agg(F.count("*").alias("m")).where("m > 1").select(*core)
     again = kinds.join(mixed, core).select("one.doc", "one.a", "hi", "lo")
@@ -221,25 +224,26 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
         distinct = keyed.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
         distinct.write.bucketBy(int(parts), "doc").sortBy("doc").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     try:
-        return _without(keyed, spark.table(name), length, with_text)
+        files = max(4 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+        return _without(keyed, spark.table(name), length, with_text, files)
     finally:
         spark.sql(f"DROP TABLE {name}")
         delete(spark, f"{scratch_dir(spark)}/{name}")
 
 
-def _without(keyed: DataFrame, texts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """``remove_repeats`` of the rows ``keyed``, whose distinct texts are the table ``texts``."""
-    found = spool(_anchors(texts.select("doc", "text").where(F.length("text") >= length), length), "suffix_anchors")
+def _without(keyed: DataFrame, texts: DataFrame, length: int, with_text: bool, files: int) -> DataFrame:
+    """``remove_repeats`` of the rows ``keyed``, whose distinct texts are the table ``texts``, with ``files`` files a step at most."""
+    found = spool(_anchors(texts.select("doc", "text").where(F.length("text") >= length), length), "suffix_anchors", files)
     # a table of its own, so that the join below can split the rows of a hot bucket
-    shared = spool(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix_shared")
-    nodes = spool(found.join(shared, "h"), "suffix_level0")
+    shared = spool(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix_shared", files)
+    nodes = spool(found.join(shared, "h"), "suffix_level0", files)
     discard(found, shared)
-    repeated, again, *made = _refine(nodes, ["h"])
+    repeated, again, *made = _refine(nodes, ["h"], files)
     settled = [repeated]
     made.append(nodes)
     for i, block in enumerate(BLOCKS):
-        nodes = spool(_nodes(texts, again, length, block), f"suffix_level{i + 1}")
-        repeated, again, *more = _refine(nodes, ["h", "k", "c"])
+        nodes = spool(_nodes(texts, again, length, block), f"suffix_level{i + 1}", files)
+        repeated, again, *more = _refine(nodes, ["h", "k", "c"], files)
         settled.append(repeated)
         made += [nodes, *more]
     spans = settled[0]
@@ -268,6 +272,6 @@ def _without(keyed: DataFrame, texts: DataFrame, length: int, with_text: bool) -
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], [f.split()[0] for f in schema.split(", ")])
 
     done = texts.join(spans, "doc", "left").select("doc", "text", "copies", "spans").mapInArrow(run, schema)
-    done = spool(done, "suffix_done")
+    done = spool(done, "suffix_done", files)
     discard(*made)
-    return keyed.select("doc_id", "doc").join(done, "doc").drop("doc")
+    return keyed.select("doc_id", "doc").join(done, "doc").drop("doc").coalesce(files)

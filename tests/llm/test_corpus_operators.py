@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, toxicity
-from tessera.llm.common import components
+from tessera.llm import langid, suffix_dedup, toxicity
+from tessera.llm.common import components, setting, spool
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.minhash import alike, classes, edit, fingerprint_pairs, likeness, shingles, signature
 from tessera.llm.mixing import mix, targets
@@ -116,6 +116,28 @@ def test_remove_repeats_random(spark):
         assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == e
 
 
+def test_remove_repeats_few_files(spark, monkeypatch):
+    """A small table's steps are few files each, however many partitions the session has; nothing is lost by that."""
+    r = random.Random(2)
+    passages = ["".join(r.choice("abcd ") for _ in range(400)) for _ in range(30)]
+    texts = ["".join(r.choice("abcd ") for _ in range(250)) + r.choice(passages)[r.randrange(90) :] + "xyz"[r.randrange(3) :] for _ in range(150)]
+    files = []
+
+    def counted(df, tag, *more):
+        out = spool(df, tag, *more)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "spool", counted)
+    with setting(spark, "spark.sql.shuffle.partitions", lambda _: "60"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", lambda _: "false"):
+        df = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        found = {x.doc_id: x for x in df.collect()}
+        files.append(df.rdd.getNumPartitions())
+    for i, e in enumerate(brute_repeats(texts, 200)):
+        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == e
+    assert len(files) > 10 and max(files) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_remove_repeats_needs_length(docs):
     with pytest.raises(ValueError):
         remove_repeats(docs, length=79)
